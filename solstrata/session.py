@@ -47,3 +47,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once a session."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_solstrata_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="solstrata-zip-"), "solstrata.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    out.write(path, os.path.join("solstrata", os.path.relpath(path, root)))
+    sc.addPyFile(name)
+    sc._solstrata_shipped = True
