@@ -1,7 +1,7 @@
 """Records whose texts differ by small edits, insertions or reordering.
 
 A text is the set of its distinct runs of `k` words; two texts are alike if |common| / |union| reaches a
-threshold. Equal sets are reduced to one representative first. Each representative gets a fingerprint of 128 bits (one
+threshold. Equal sets are reduced to one representative first. Each representative gets a fingerprint of 256 bits (two
 per min-wise hash) and a few band keys. Fingerprints with a common band key are put into Gray order, in which
 neighbours differ in few bits, and a hierarchical index is built over that order: an upper node keeps the bits all
 its fingerprints agree on (mask and pattern), so the differences between two nodes' shared patterns are a lower bound for all
@@ -34,6 +34,9 @@ from solstrata.functions.arrow_batches import byte_slices
 from solstrata.session import materialize
 
 HASHES = 128
+#: 64-bit words of a fingerprint, two bits for each hash.
+WORDS = HASHES * 2 // 64
+_PRINT = [f"f{i}" for i in range(WORDS)]
 SLOTS = 1 << 16
 #: Rows of one band key above which the key is split into blocks.
 BLOCK_ROWS = 2000
@@ -55,9 +58,12 @@ def band_rows(threshold: float) -> int:
 
 
 def radius(threshold: float) -> int:
-    """Differing bits within which a pair at the threshold lies, by four standard deviations."""
-    p = (1 - threshold) / 2
-    return math.ceil(HASHES * p + 4 * math.sqrt(HASHES * p * (1 - p)))
+    """Differing bits within which a pair at the threshold lies, by four standard deviations.
+
+    A hash that differs contributes two random bits: one on average, with a mean square of 1.5.
+    """
+    p = 1 - threshold
+    return math.ceil(HASHES * p + 4 * math.sqrt(HASHES * (1.5 * p - p * p)))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -125,11 +131,10 @@ def min_hashes(runs: np.ndarray) -> np.ndarray:
     return best * np.uint32(0x9E3779B1)
 
 
-def fingerprint(mins: np.ndarray) -> tuple[int, int]:
-    """128 bits, one of each min-hash, as two signed 64-bit numbers."""
-    bits = np.packbits((mins >> np.uint32(31)).astype(np.uint8))
-    high, low = bits.view(">i8").tolist()
-    return high, low
+def fingerprint(mins: np.ndarray) -> list[int]:
+    """Two bits of each min-hash, as signed 64-bit numbers."""
+    bits = np.packbits(np.concatenate([mins >> np.uint32(31), (mins >> np.uint32(30)) & np.uint32(1)]).astype(np.uint8))
+    return bits.view(">i8").tolist()
 
 
 def _texts(df: DataFrame, record_id: str, text: str) -> DataFrame:
@@ -137,7 +142,7 @@ def _texts(df: DataFrame, record_id: str, text: str) -> DataFrame:
 
 
 def features(df: DataFrame, record_id: str, text: str, k: int, threshold: float) -> DataFrame:
-    """(id, set_key, high, low, bands): digest of the set, fingerprint and 32-bit band keys of every text with words."""
+    """(id, set_key, f0..f3, bands): digest of the set, fingerprint and 32-bit band keys of every text with words."""
     rows = band_rows(threshold)
     bands = HASHES // rows
 
@@ -153,10 +158,10 @@ def features(df: DataFrame, record_id: str, text: str, k: int, threshold: float)
                 keys = [[xxhash.xxh32_intdigest(m[j * rows : (j + 1) * rows].tobytes(), j) - (1 << 31) for j in range(bands)] for m in mins]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(at, pa.int64())), pa.array([xxhash.xxh3_128_digest(sets[i].tobytes()) for i in at], pa.binary()),
-                     pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(keys, pa.list_(pa.int32()))],
-                    ["id", "set_key", "high", "low", "bands"])
+                     *[pa.array([p[i] for p in prints], pa.int64()) for i in range(WORDS)], pa.array(keys, pa.list_(pa.int32()))],
+                    ["id", "set_key", *_PRINT, "bands"])
 
-    return _texts(df, record_id, text).mapInArrow(run, "id bigint, set_key binary, high bigint, low bigint, bands array<int>")
+    return _texts(df, record_id, text).mapInArrow(run, f"id bigint, set_key binary, {', '.join(f'{f} bigint' for f in _PRINT)}, bands array<int>")
 
 
 def run_sets(df: DataFrame, record_id: str, text: str, k: int) -> DataFrame:
@@ -173,18 +178,14 @@ def run_sets(df: DataFrame, record_id: str, text: str, k: int) -> DataFrame:
     return _texts(df, record_id, text).mapInArrow(run, "id bigint, runs array<int>")
 
 
-def gray_rank(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each 128-bit fingerprint in Gray order, as two words to sort by."""
-
-    def decode(w: np.ndarray) -> np.ndarray:
-        for s in (1, 2, 4, 8, 16, 32):
-            w = w ^ (w >> np.uint64(s))
-        return w
-
-    first = decode(high.view(np.uint64))
-    second = decode(low.view(np.uint64))
-    odd = (first & np.uint64(1)).astype(bool)
-    return first, np.where(odd, ~second, second)
+def gray_rank(prints: np.ndarray) -> np.ndarray:
+    """Place of each fingerprint (a row of words, the highest first) in Gray order, as words to sort by."""
+    rank = prints.copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(s)
+    odd = np.cumsum(rank & np.uint64(1), axis=1) % np.uint64(2) == 1  # ones in the words so far, by parity
+    rank[:, 1:] = np.where(odd[:, :-1], ~rank[:, 1:], rank[:, 1:])
+    return rank
 
 
 class GrayIndex:
@@ -194,14 +195,13 @@ class GrayIndex:
     the bits they share. The top level has one node per group.
     """
 
-    def __init__(self, group: np.ndarray, side: np.ndarray, high: np.ndarray, low: np.ndarray):
-        rank = gray_rank(high, low)
-        self.order = np.lexsort((rank[1], rank[0], group))
+    def __init__(self, group: np.ndarray, side: np.ndarray, prints: np.ndarray):
+        rank = gray_rank(prints)
+        self.order = np.lexsort((*rank.T[::-1], group))
         group = group[self.order]
         self.side = side[self.order]
-        print_ = np.stack([high[self.order].view(np.uint64), low[self.order].view(np.uint64)], axis=1)
-        self.pattern, self.mask, self.child = [print_], [np.full_like(print_, ~np.uint64(0))], []
-        all_one = print_
+        prints = prints[self.order]
+        self.pattern, self.mask, self.child = [prints], [np.full_like(prints, ~np.uint64(0))], []
         while True:
             new = np.concatenate([[True], group[1:] != group[:-1]])
             if new.all():
@@ -260,7 +260,7 @@ def _bucket_pairs(rows: pd.DataFrame, reach: int) -> Iterator[pa.RecordBatch]:
     rows, group = rows[more], group[more]
     ids = rows["id"].to_numpy()
     # side 0: pairs within count; side 1 and 2: only pairs across
-    index = GrayIndex(group, rows["side"].to_numpy(), rows["high"].to_numpy(), rows["low"].to_numpy())
+    index = GrayIndex(group, rows["side"].to_numpy(), rows[_PRINT].to_numpy().view(np.uint64))
     for a, b in index.pairs(reach):
         x, y = ids[a], ids[b]
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
@@ -272,7 +272,7 @@ def _bucket_pairs(rows: pd.DataFrame, reach: int) -> Iterator[pa.RecordBatch]:
 def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: representatives with a common band key whose fingerprints lie within the radius. reps must be a written table."""
     reach = radius(threshold)
-    banded = reps.select("id", "high", "low", F.posexplode("bands").alias("band", "value"))
+    banded = reps.select("id", *_PRINT, F.posexplode("bands").alias("band", "value"))
     banded = banded.withColumn("key", F.col("band").cast("bigint") * F.lit(1 << 32) + F.col("value")).drop("band", "value")
     banded = banded.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int"))
     slots = materialize(banded.groupBy("slot").agg(F.count("*").alias("n")), "band-slots")  # at most SLOTS rows
@@ -284,7 +284,7 @@ def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     rows = rows.withColumn("block", F.coalesce(block, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("byte")
     task = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    rows = rows.select(task.alias("task"), "id", side.alias("side"), "high", "low").repartition("task").sortWithinPartitions("task")
+    rows = rows.select(task.alias("task"), "id", side.alias("side"), *_PRINT).repartition("task").sortWithinPartitions("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
@@ -324,7 +324,7 @@ def near_duplicates(df: DataFrame, record_id: str, text: str, k: int = 5, thresh
     Copies, that is texts with equal sets, share the representative with the least id and have no links among themselves.
     """
     every = materialize(features(df, record_id, text, k, threshold), "near-features")
-    reps = every.groupBy("set_key").agg(F.min_by(F.struct("id", "high", "low", "bands"), "id").alias("r"))
+    reps = every.groupBy("set_key").agg(F.min_by(F.struct("id", *_PRINT, "bands"), "id").alias("r"))
     reps = materialize(reps.select("set_key", "r.*"), "near-reps")
     members = every.select("id", "set_key").distinct().join(reps.select("set_key", F.col("id").alias("rep")), "set_key").select("id", "rep")
     candidates = candidate_pairs(reps, threshold)
