@@ -1,7 +1,7 @@
 """Records whose texts differ by small edits, insertions or reordering.
 
 A text is the set of its distinct runs of `k` words; two texts are alike if |common| / |union| reaches a
-threshold. Equal sets are reduced to one representative first. Each representative gets a fingerprint of 256 bits (two
+threshold. Equal sets are reduced to one representative first. Each representative gets a fingerprint of 256 bits (one
 per min-wise hash) and a few band keys. Fingerprints with a common band key are put into Gray order, in which
 neighbours differ in few bits, and a hierarchical index is built over that order: an upper node keeps the bits all
 its fingerprints agree on (mask and pattern), so the differences between two nodes' shared patterns are a lower bound for all
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from solstrata.functions.arrow_batches import byte_slices
 from solstrata.session import materialize
 
-HASHES = 128
-#: 64-bit words of a fingerprint, two bits for each hash.
-WORDS = HASHES * 2 // 64
+HASHES = 256
+#: 64-bit words of a fingerprint, one bit for each hash.
+WORDS = HASHES // 64
 _PRINT = [f"f{i}" for i in range(WORDS)]
 SLOTS = 1 << 16
 #: Rows of one band key above which the key is split into blocks.
@@ -58,12 +58,9 @@ def band_rows(threshold: float) -> int:
 
 
 def radius(threshold: float) -> int:
-    """Differing bits within which a pair at the threshold lies, by four standard deviations.
-
-    A hash that differs contributes two random bits: one on average, with a mean square of 1.5.
-    """
-    p = 1 - threshold
-    return math.ceil(HASHES * p + 4 * math.sqrt(HASHES * (1.5 * p - p * p)))
+    """Differing bits within which a pair at the threshold lies, by four standard deviations."""
+    p = (1 - threshold) / 2
+    return math.ceil(HASHES * p + 4 * math.sqrt(HASHES * p * (1 - p)))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -132,9 +129,8 @@ def min_hashes(runs: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(mins: np.ndarray) -> list[int]:
-    """Two bits of each min-hash, as signed 64-bit numbers."""
-    bits = np.packbits(np.concatenate([mins >> np.uint32(31), (mins >> np.uint32(30)) & np.uint32(1)]).astype(np.uint8))
-    return bits.view(">i8").tolist()
+    """One bit of each min-hash, as signed 64-bit numbers."""
+    return np.packbits((mins >> np.uint32(31)).astype(np.uint8)).view(">i8").tolist()
 
 
 def _texts(df: DataFrame, record_id: str, text: str) -> DataFrame:
