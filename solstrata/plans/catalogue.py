@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solstrata.plans import problems
+from solstrata.plans import problems, reference
 
-FLAGSHIP = "p5_found"
-_MODULES = (problems,)
+FLAGSHIP = "scan_all"
+_MODULES = (problems, reference)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

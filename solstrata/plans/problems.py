@@ -58,7 +58,7 @@ QUERIES: dict[str, Query] = {
 }
 
 _P1 = r"""
-with logs as (select log_id, payload from (select *, row_number() over (partition by log_id order by received_at desc, delivery_id desc) as k
+with recursive logs as (select log_id, payload from (select *, row_number() over (partition by log_id order by received_at desc, delivery_id desc) as k
     from sarif_logs where json_valid(payload)) where k = 1),
 units as (select unit_id, ast_json from (select *, row_number() over (partition by unit_id order by compiled_at desc, delivery_id desc) as k
     from ast_units where json_valid(ast_json)) where k = 1),
@@ -74,12 +74,18 @@ threads as (select log_id, child || '.threadFlows[' || i || ']' as child, child
     from flows, unnest(range(coalesce(json_array_length(e, '$.threadFlows'), 0)::bigint)) as t(i)),
 steps as (select log_id, child || '.locations[' || i || ']' as child, child as parent
     from threads, unnest(range(coalesce(json_array_length(e, '$.locations'), 0)::bigint)) as t(i)),
-tree as (select unit_id, t.id as at, t.parent as up, json_extract_string(t.value, '$.id') as node, json_extract_string(t.value, '$.nodeType') as kind
+tree as (select unit_id, t.id as nid, t.parent as up, json_extract_string(t.value, '$.id') as node, json_extract_string(t.value, '$.nodeType') as kind
     from units, json_tree(units.ast_json::json) as t where t.type in ('OBJECT', 'ARRAY')),
-marked as (select unit_id, at, up, case when kind is not null and node is not null then node end as node, kind from tree)
+marked as (select unit_id, nid, up, kind, case when kind is not null then node end as node from tree),
+climb as (select unit_id, nid as start, node as child, up as nid from marked where node is not null and kind <> 'SourceUnit'
+    union all select c.unit_id, c.start, c.child, m.up from climb c join marked m on m.unit_id = c.unit_id and m.nid = c.nid where m.node is null)
+select 'sarif' as record_kind, log_id as record_id, child, parent from (select log_id, child, parent from runs union all select log_id, child, parent from results union all from locations
+    union all select log_id, child, parent from flows union all select log_id, child, parent from threads union all from steps)
+union all select 'ast', c.unit_id, c.child, coalesce(m.node, '') from climb c left join marked m on m.unit_id = c.unit_id and m.nid = c.nid where c.nid is null or m.node is not null
 """
 
 ORACLES: dict[str, str] = {
+    "p1_found": _P1,
     "p5_found": r"""
 with seen as (select project_root, snapshot_no, lag(snapshot_no) over w as prev_no, lead(snapshot_no) over w as next_no
     from (select distinct project_root, snapshot_no from baseline_findings where project_root is not null and snapshot_no is not null)

@@ -58,7 +58,7 @@ def verified_files(sources: DataFrame, key: str = "address", text: str = "source
     """(key, path, source): the files of verified sources; compiler input, plain or in doubled braces, gives one row per file."""
     t = F.trim(F.col(text))
     inner = F.when(t.startswith("{{"), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
-    doc = F.when(t.startswith("{"), F.expr("try_parse_json(_inner)"))
+    doc = F.when(F.startswith("_inner", F.lit("{")), F.expr("try_parse_json(_inner)"))
     rows = sources.where(F.col(text).isNotNull()).select(key, F.col(name).alias("_name"), F.col(text).alias("_text"), inner.alias("_inner")).withColumn("_doc", doc)
     files = F.coalesce(F.expr("try_variant_get(_doc, '$.sources', 'map<string,struct<content:string>>')"), F.expr("try_variant_get(_doc, '$', 'map<string,struct<content:string>>')"))
     single = F.create_map(F.concat(F.coalesce("_name", F.lit("main")), F.lit(".sol")), F.struct(F.col("_text").alias("content")))
