@@ -15,6 +15,7 @@ no part in comparisons; an entry delivered twice changes nothing.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -199,12 +200,14 @@ def replay(df: DataFrame, fields: Mapping[str, tuple[str, Sequence[str]]], rescu
     for field, (kind, names) in fields.items():
         values = [_typed(doc, n, kind) for n in names]
         used.append(F.when(F.col(field).isNull(), F.coalesce(*[F.when(v.isNotNull(), F.lit(n)) for v, n in zip(values, names)])))
-        filled.append(F.coalesce(F.col(field), *values).alias(field))
-    by_name = dict(zip(fields, filled))
-    used_names = F.array_compact(F.array(*used))
-    left = F.map_filter(F.from_json(rescued, "map<string,variant>"), lambda k, v: ~F.array_contains(used_names, k))
-    rest = F.when(F.size(used_names) == 0, F.col(rescued)).when(F.size(left) > 0, F.to_json(left)).alias(rescued)
-    return df.select(*[by_name.get(c, F.col(c)) for c in df.columns if c != rescued], rest)
+        filled.append(F.coalesce(F.col(field), *values).alias(f"_new_{field}"))
+    taken = lambda k: functools.reduce(lambda x, y: x | y, [k.eqNullSafe(u) for u in used])
+    left = F.map_filter(F.from_json(rescued, "map<string,variant>"), lambda k, v: ~taken(k))
+    rest = F.when(F.coalesce(*used).isNull(), F.col(rescued)).when(F.size(left) > 0, F.to_json(left)).alias(f"_new_{rescued}")
+    # new names first: a lambda would take an alias of the same list for the column of that name
+    out = df.select("*", *filled, rest)
+    new = {*fields, rescued}
+    return out.select(*[F.col(f"_new_{c}").alias(c) if c in new else F.col(c) for c in df.columns])
 
 
 def promote(df: DataFrame, field: str, kind: str, names: Sequence[str] = (), rescued: str = "_rescued") -> DataFrame:

@@ -69,7 +69,6 @@ def base_contracts(edges: DataFrame) -> DataFrame:
     return edges.select("path", F.col("parent").alias("contract")).distinct()
 
 
-@F.pandas_udf("canonical string, selector string")
 def _signed(name: pd.Series, types: pd.Series) -> pd.DataFrame:
     from solstrata.functions.keccak import canonical_signature, selector
 
@@ -80,7 +79,8 @@ def _signed(name: pd.Series, types: pd.Series) -> pd.DataFrame:
 
 def signatures(blocks: DataFrame) -> DataFrame:
     """(path, contract, function, start_line, canonical, selector) of named functions; selector is 8 hex digits."""
-    rows = blocks.where("kind = 'function' and name <> ''").withColumn("s", _signed("name", F.transform("params", lambda p: p["type"])))
+    signed = F.pandas_udf(_signed, "canonical string, selector string")
+    rows = blocks.where("kind = 'function' and name <> ''").withColumn("s", signed("name", F.transform("params", lambda p: p["type"])))
     return rows.select("path", "contract", F.col("name").alias("function"), "start_line", "s.canonical", "s.selector")
 
 

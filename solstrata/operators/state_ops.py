@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solstrata.operators.inheritance import ancestors, inherits
@@ -16,6 +16,10 @@ _INTERFACE = r"\b(I[A-Z]\w*|IERC\w+)\s*\([^()]*\)\s*\.\s*(\w+)\s*[\({]"
 _WRITE = r"(?:^|[;{(]|\bdelete\s)\s*([A-Za-z_]\w*)((?:\s*\[[^\]]*\]|\.\w+)*)\s*(?:[-+*/|&^%]?=(?!=)|\+\+|--)|\bdelete\s+([A-Za-z_]\w*)|(?:\+\+|--)\s*([A-Za-z_]\w*)|\b([A-Za-z_]\w*)\s*\.\s*(?:push|pop)\s*\("
 
 
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def known_variables(blocks: DataFrame, variables: DataFrame) -> DataFrame:
     """(path, contract, variable): own and inherited state variables, constants left out."""
     own = variables.where("not is_constant").select("path", F.col("contract").alias("declared_in"), F.col("name").alias("variable"))
@@ -31,17 +35,19 @@ def state_ops(functions: DataFrame, blocks: DataFrame, variables: DataFrame) ->
     """
     parts = functions.select("path", "contract", F.col("name").alias("function"), "start_line", "body_line", "code", F.posexplode(F.split("code", ";", -1)).alias("k", "text"))
     upto = F.array_join(F.slice(F.split("code", ";", -1), 1, F.col("k")), ";")
-    lead = F.length(F.regexp_extract("text", r"^\s*", 0)) - F.length(F.regexp_replace(F.regexp_extract("text", r"^\s*", 0), "\n", ""))
-    parts = parts.withColumn("line", F.col("body_line") + F.length(upto) - F.length(F.replace(upto, F.lit("\n"), F.lit(""))) + lead)
-    at = ["path", "contract", "function", "start_line", "line"]
+    parts = parts.withColumn("first", F.col("body_line") + _breaks(upto))
+    at = ["path", "contract", "function", "start_line"]
+    before = F.regexp_extract("text", f"(?s)^(.*?)(?:{_LOW}|{_INTERFACE})", 1)
+    upto_name = F.call_function("regexp_extract", "text", F.concat(F.lit(r"(?s)^(.*?)\b"), "variable", F.lit(r"\b")), F.lit(1))
     calls = parts.where(rx("text", _LOW, _INTERFACE)).where(~F.regexp_extract("text", _INTERFACE, 2).isin(*SAFE_CALLS) | rx("text", _LOW))
-    calls = calls.select(*at, (F.col("k") * 3).alias("seq"), F.lit("call").alias("kind"), F.lit(None).cast("string").alias("variable"), F.trim("text").alias("text"))
+    calls = calls.select(*at, (F.col("first") + _breaks(before)).alias("line"), (F.col("k") * 3).alias("seq"), F.lit("call").alias("kind"), F.lit(None).cast("string").alias("variable"), F.trim("text").alias("text"))
     names = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(_WRITE), F.lit(g)) for g in (1, 3, 4, 5)]))
-    writes = parts.select(*at, (F.col("k") * 3 + 1).alias("seq"), F.explode(F.array_distinct(F.filter(names, lambda x: x != ""))).alias("variable"), F.trim("text").alias("text"))
+    writes = parts.select(*at, "first", (F.col("k") * 3 + 1).alias("seq"), F.explode(F.array_distinct(F.filter(names, lambda x: x != ""))).alias("variable"), F.trim("text").alias("text"))
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1)))
-    reads = parts.select(*at, (F.col("k") * 3 + 2).alias("seq"), F.explode(words).alias("variable"), F.trim("text").alias("text"))
+    reads = parts.select(*at, "first", (F.col("k") * 3 + 2).alias("seq"), F.explode(words).alias("variable"), F.trim("text").alias("text"))
     known = known_variables(blocks, variables)
     kept = writes.withColumn("kind", F.lit("write")).unionByName(reads.withColumn("kind", F.lit("read"))).join(known, ["path", "contract", "variable"], "left_semi")
+    kept = kept.withColumn("line", F.col("first") + _breaks(upto_name))
     return calls.unionByName(kept.select(*calls.columns))
 
 
