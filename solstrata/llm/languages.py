@@ -133,7 +133,7 @@ _PY_STRING = (
 )
 _PY_NUMBER = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][-+]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][-+]?\d(?:_?\d)*)?[jJ]?)(?![A-Za-z0-9_])"
 _PY_TOKEN = re.compile(
-    rf"(?P<blank>[ \t\f]+|\\\r?\n|#[^\n\r]*)|(?P<line>\r?\n|\r)|(?P<string>{_PY_STRING})|(?P<number>{_PY_NUMBER})|(?P<word>[^\W\d]\w*)"
+    rf"(?P<blank>[ \t\f]+|\\\r?\n(?=[\s\S])|#[^\n\r]*)|(?P<line>\r?\n|\r)|(?P<string>{_PY_STRING})|(?P<number>{_PY_NUMBER})|(?P<word>[^\W\d]\w*)"
     r"|(?P<mark>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=])"
 )
 _PY_KEYWORDS = set(

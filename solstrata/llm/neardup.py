@@ -78,7 +78,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
         inverse = pow(_BASE, -1, 1 << 64)
-        _powers = tuple(np.cumprod(np.concatenate([[1], np.full(n, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, inverse))
+        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
     return _powers
 
 
