@@ -322,13 +322,25 @@ def variable_shadowing(c: Corpus) -> DataFrame:
     return out.withColumn("rule_id", F.when(F.col("severity") == "low", "SHADOW-001").otherwise("SHADOW-002")).select(*FINDING)
 
 
+def vyper_reentrancy(c: Corpus) -> DataFrame:
+    """Vyper functions that write through self after a raw call, a send or a call of another contract, and have no lock."""
+    out = r"\b(raw_call|send)\s*\(|\b(extcall|staticcall)\b|\b[A-Z]\w*\s*\([^()]*\)\s*\.\s*\w+\s*\("
+    write = r"^\s*self\.\w+(?:\[[^\]]*\])*\s*[-+*/%|&^]?=[^=]"
+    rows = c.functions.where(F.lower("path").endswith(".vy") & ~F.array_contains("modifiers", "nonreentrant") & (F.col("visibility") == "external") & rx("code", out))
+    flags = lambda p: F.transform(F.split("code", "\n", -1), lambda x: F.coalesce(x.rlike("(?d)" + p), F.lit(False)))
+    call, writes = F.array_position(flags(out), True), flags(write)
+    late = F.exists(F.slice(writes, F.col("call").cast("int") + 1, F.size(writes)), lambda x: x)
+    rows = rows.withColumn("call", call).where((F.col("call") > 0)).where(late)
+    return _finding(rows, _first_line(out), "REENTRANCY-001", "vyper-reentrancy", "critical", "high", _title("Call before the write of a state variable"), _line_text(out))
+
+
 Detector = Callable[[Corpus], DataFrame]
 DETECTORS: dict[str, Detector] = {
     "reentrancy": reentrancy, "tx-origin": tx_origin, "delegatecall": delegatecall, "upgradeability": unprotected_upgrade, "unchecked-call": unchecked_call, "access-control": access_control,
     "integer-overflow": integer_overflow, "reinitializable-init": reinitializable_init, "constructor-in-upgradeable": constructor_in_upgradeable, "uninitialized-ownable": uninitialized_ownable,
     "flash-loan": flash_loan, "signature-replay": signature_replay, "erc4626-inflation": erc4626_inflation, "oracle-manipulation": oracle_manipulation, "dangerous-approve": dangerous_approve,
 }
-EXPERIMENTAL: dict[str, Detector] = {"storage-gap-missing": storage_gap_missing, "override-removes-restriction": override_removes_restriction, "shadowing": variable_shadowing}
+EXPERIMENTAL: dict[str, Detector] = {"storage-gap-missing": storage_gap_missing, "override-removes-restriction": override_removes_restriction, "shadowing": variable_shadowing, "vyper-reentrancy": vyper_reentrancy}
 
 
 def register(name: str, detector: Detector) -> None:

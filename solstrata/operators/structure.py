@@ -93,6 +93,14 @@ def versions(files: DataFrame) -> DataFrame:
     return out.withColumn("below_08", below)
 
 
+def offset_lines(points: DataFrame, files: DataFrame) -> DataFrame:
+    """points (path, offset, ...) with the line and column (from 1) of a 0-based byte offset; beyond the end it is the last line."""
+    joined = points.join(files.select("path", F.encode("source", "UTF-8").alias("_bytes")), "path", "left")
+    before = F.decode(F.expr("substring(_bytes, 1, greatest(offset, 0))"), "UTF-8")
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    return joined.withColumn("line", line).withColumn("column", F.octet_length(F.substring_index(before, "\n", -1)) + 1).drop("_bytes")
+
+
 _IMPORT = r"""(?m)^\s*import\s+(?:[^;"']*\s)?["']([^"']+)["']"""
 
 

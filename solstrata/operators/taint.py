@@ -67,6 +67,15 @@ def flows(nodes: DataFrame) -> DataFrame:
     return out.withColumn("severity", severity[F.col("sink")])
 
 
+def bounded_flows(nodes: DataFrame) -> DataFrame:
+    """flows with confidence: one step lower if the symbol was compared in a require, assert or if before."""
+    tests = nodes.where("type = 'Identifier' and function_node >= 0").select("record_id", "contract", "function", F.col("name").alias("symbol"), F.col("parent").alias("node"))
+    compared = nodes.where("type = 'BinaryOperation' and operator in ('<', '<=', '>', '>=', '==', '!=')").select("record_id", "node")
+    checked = tests.join(compared, ["record_id", "node"], "left_semi").select("record_id", "contract", "function", "symbol").distinct().withColumn("checked", F.lit(True))
+    out = flows(nodes).join(checked, ["record_id", "contract", "function", "symbol"], "left")
+    return out.withColumn("confidence", F.when(F.col("checked"), "medium").otherwise("high")).drop("checked")
+
+
 def function_summaries(nodes: DataFrame, max_depth: int = 10) -> DataFrame:
     """(record_id, function, sinks, recursive): sinks a function's parameters reach, its own or through callees up to max_depth."""
     own = flows(nodes).where("label = 'parameter'").select("record_id", F.concat_ws(".", "contract", "function").alias("f"), "sink").distinct()

@@ -260,6 +260,13 @@ def lines_of_functions(spark, d):
     return structure.enclosing_function(c.lines.select("path", "line_no"), c.blocks).groupBy("path", "function_name").agg(F.count("*").alias("lines"))
 
 
+def node_lines(spark, d):
+    """Line and column of the first brace of each file, from its byte offset."""
+    files = _files(spark, d).where(F.contains("source", F.lit("{")))
+    points = files.select("path", (F.octet_length(F.split_part("source", F.lit("{"), F.lit(1)))).alias("offset")).distinct()
+    return structure.offset_lines(points, files)
+
+
 def suppressed_lines(spark, d):
     said = spark.createDataFrame([("a.sol", "x\n// audit-disable-next-line AUTH-001\ny\n// audit-disable\nz\n// audit-enable\nw")], "path string, source string")
     return findings.suppress_intervals(_files(spark, d).unionByName(said))
@@ -292,9 +299,14 @@ QUERIES: dict[str, Query] = {
     for f in (text_lines, skipped_files, file_languages, pragma_versions, file_imports, verified_files, brace_depth, line_windows, event_pairs, last_event_before, hierarchy_closure, event_cycles, finding_counts,
               findings_per_file, severe_findings, overridden_findings, kept_findings, finding_fingerprints, finding_ids, baseline_new, baseline_existing, baseline_resolved, merged_baseline, rule_catalogue, slowest_orders,
               timing_statistics, detector_accuracy, code_patterns, code_comparison, code_instructions, code_selectors, noted_opcodes, proxy_kinds, exploited_contracts, cache_decisions, scan_all, scan_intercontract,
-              source_blocks, state_variables, lines_in_scope, lines_of_functions, suppressed_lines, fuzz_targets, sarif_rows, finding_traces)
+              source_blocks, state_variables, lines_in_scope, lines_of_functions, node_lines, suppressed_lines, fuzz_targets, sarif_rows, finding_traces)
 }
+def detect_vyper_reentrancy(spark, d):
+    return detectors.scan(structure.Corpus(src.table_sources(table(spark, d, "source_files"), (".vy",)), materialize), ["vyper-reentrancy"])
+
+
 QUERIES |= {"detect_" + n.replace("-", "_"): _scan(n) for n in [*detectors.DETECTORS, *detectors.EXPERIMENTAL]}
+QUERIES["detect_vyper_reentrancy"] = detect_vyper_reentrancy
 QUERIES |= {
     "inheritance_edges": _on_blocks(lambda c: inheritance.inherits(c.blocks)),
     "inheritance_ancestors": _on_blocks(lambda c: inheritance.ancestors(inheritance.inherits(c.blocks))),
@@ -324,7 +336,7 @@ QUERIES |= {
     "call_cycles": _on_nodes(astgraph.risky_cycles),
     "taint_symbols": _on_nodes(taint.tainted_symbols),
     "taint_labels": _on_nodes(lambda n: taint.strongest_label(taint.tainted_symbols(n))),
-    "taint_flows": _on_nodes(taint.flows),
+    "taint_flows": _on_nodes(taint.bounded_flows),
     "taint_summaries": _on_nodes(taint.function_summaries),
     "taint_storage": _on_nodes(taint.tainted_storage),
 }
@@ -342,6 +354,8 @@ _GLOBS = " or ".join(f"regexp_matches(path, '{glob_regex(p)}')" for p in EXCLUDE
 _BASE_GLOBS = " or ".join(f"regexp_matches(split_part(path, '/', -1), '{glob_regex(p)}')" for p in EXCLUDED if "/" not in p)
 
 ORACLES: dict[str, str] = {
+    "node_lines": rf"""with f as (select path, split_part(source, '{{', 1) as before from {_SOL} where contains(source, '{{'))
+select path, strlen(before)::int as "offset", (length(before) - length(replace(before, chr(10), '')) + 1)::int as line, (strlen(split_part(before, chr(10), -1)) + 1)::int as "column" from f""",
     "text_lines": _LINES.format(_BOTH),
     "skipped_files": rf"""with f as (select file_id, replace(file_path, '\', '/') as path from source_files where file_path is not null)
 select file_id, list_bool_or(list_transform(string_split(lower(path), '/'), lambda p: starts_with(p, '.') and p not in ('.', '..')))

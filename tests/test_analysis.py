@@ -269,3 +269,23 @@ def test_stream(spark, tmp_path):
         q = incremental.scan_stream(incremental.stream_sources(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), ["tx-origin"])
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_vyper_functions(spark):
+    text = "@external\ndef f(to: address):\n    send(to, 1)\n    self.x = 1\n\n@external\n@nonreentrant('lock')\ndef g(to: address):\n    send(to, 1)\n    self.x = 1\n\n@external\ndef h(to: address):\n    self.x = 1\n    send(to, 1)\n"
+    c = structure.Corpus(spark.createDataFrame([("a.vy", text)], "path string, source string"), materialize)
+    assert [(r.name, r.visibility, r.start_line, r.end_line) for r in c.functions.orderBy("start_line").collect()] == [("f", "external", 2, 4), ("g", "external", 8, 10), ("h", "external", 13, 15)]
+    assert [(r.function, r.line) for r in detectors.scan(c, ["vyper-reentrancy"]).collect()] == [("f", 3)]
+
+
+def test_offsets_scopes_and_as_of(spark):
+    text = "é\ncontract A {\n function f() external {\n }\n}\n"
+    files = spark.createDataFrame([("a.sol", text)], "path string, source string")
+    c = structure.Corpus(files, materialize)
+    points = spark.createDataFrame([("a.sol", 0), ("a.sol", 3), ("a.sol", 99), ("b.sol", 1)], "path string, offset int")
+    assert [(r.path, r.offset, r.line, r.column) for r in structure.offset_lines(points, files).orderBy("path", "offset").collect()] == [("a.sol", 0, 1, 1), ("a.sol", 3, 2, 1), ("a.sol", 99, 6, 1), ("b.sol", 1, None, None)]
+    at = spark.createDataFrame([("a.sol", 1), ("a.sol", 4), ("b.sol", 1)], "path string, line_no int")
+    assert {(r.path, r.line_no): r.scope_name for r in structure.scope_at_line(at, structure.scopes(c.blocks)).collect()} == {("a.sol", 1): None, ("a.sol", 4): "A", ("b.sol", 1): None}
+    assert {(r.path, r.line_no): r.function_name for r in structure.enclosing_function(at, c.blocks).collect()} == {("a.sol", 1): None, ("a.sol", 4): "f", ("b.sol", 1): None}
+    both = spark.createDataFrame([("x/a.sol", 'import "./b.sol";\nimport {T} from "lib1/t.sol";'), ("x/b.sol", ""), ("node_modules/lib1/t.sol", "")], "path string, source string")
+    assert {(r.target, r.resolved) for r in structure.resolve_imports(both).collect()} == {("./b.sol", "x/b.sol"), ("lib1/t.sol", "node_modules/lib1/t.sol")}
