@@ -16,14 +16,14 @@ items with fewer words than asked for cannot be found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstrata.functions.arrow_batches import byte_slices
+from solstrata.functions.arrow_batches import byte_slices, text_buffer
 from solstrata.llm.canonical import connection, in_duckdb, run_sql, words_sql
 
 Q = 16
@@ -77,23 +77,82 @@ class QGramIndex:
         return hit
 
 
-def banded_alignment(a: bytes, b: bytes, band: int) -> int:
-    """Edit distance of a and b if it is at most `band`, else band + 1; only diagonals within the band are filled."""
-    if abs(len(a) - len(b)) > band:
-        return band + 1
-    big = band + 1
-    row = {j: j for j in range(0, min(len(b), band) + 1)}
-    for i in range(1, len(a) + 1):
-        now = {}
-        for j in range(max(0, i - band), min(len(b), i + band) + 1):
-            best = row.get(j, big) + 1
-            if j:
-                best = min(best, now.get(j - 1, big) + 1, row.get(j - 1, big) + (a[i - 1] != b[j - 1]))
-            now[j] = best if j or i > band else i
-        row = now
-        if min(row.values()) > band:
-            return big
-    return min(row.get(len(b), big), big)
+def least_edits(passages: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Least edits by which each passage (a row of w bytes) occurs in its window (a row of w + band - 1 bytes), both ends of it free.
+
+    All rows are aligned at once: cell j of row i stands for the window's byte i + j, so only the diagonals of the band exist.
+    """
+    n, w = passages.shape
+    band = windows.shape[1] - w + 1
+    big = w + band
+    before = np.zeros((n, band), np.int32)
+    for i in range(w):
+        now = before + (windows[:, i : i + band] != passages[:, i : i + 1])
+        now[:, :-1] = np.minimum(now[:, :-1], before[:, 1:] + 1)
+        for j in range(1, band):
+            now[:, j] = np.minimum(now[:, j], now[:, j - 1] + 1)
+        before = np.minimum(now, big)
+    return before.min(axis=1)
+
+
+def regions(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, width: int, edits: int) -> list[tuple[int, int, int, int, int]]:
+    """(document number, item number, place in item, place in document, edits): passages of `width` bytes that occur with at most `edits` edits.
+
+    Of neighbouring passages of one item and band the one with the fewest edits is kept, the first of several.
+    """
+    need = width + 1 - (edits + 1) * Q
+    if need < 1:
+        raise ValueError(f"with {edits} edits a passage of {width} bytes need not share a q-gram")
+    hashes = q_gram_hashes(body)
+    known = index.known(hashes)
+    run = np.concatenate([[0], np.cumsum(known)])
+    reach = width + edits - Q + 1  # q-grams of the longest stretch of document such a passage can be
+    if not len(known):
+        return []
+    stop = np.minimum(np.arange(len(known)) + reach, len(known))
+    dense = np.flatnonzero(run[stop] - run[:-1] >= need)
+    near = np.zeros(len(known) + 1, np.int64)  # positions in any dense window
+    np.add.at(near, dense, 1)
+    np.add.at(near, stop[dense], -1)
+    at = np.flatnonzero(known & (np.cumsum(near[:-1]) > 0))
+    first, last = np.searchsorted(index.hashes, hashes[at], "left"), np.searchsorted(index.hashes, hashes[at], "right")
+    n = last - first
+    place = index.places[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    pos = np.repeat(at, n)
+    step = edits + 1
+    doc = np.searchsorted(offsets, pos, "right") - 1
+    item = np.searchsorted(index.starts, place, "right") - 1
+    low = (pos - place) // step
+    # overlapping bands of 2 * step diagonals: a hit counts for the band that begins at its step and for the one before
+    band, doc, item, place = (np.concatenate(x) for x in ((low, low - 1), (doc, doc), (item, item), (place, place)))
+    order = np.lexsort((place, band, item, doc))
+    band, doc, item, place = band[order], doc[order], item[order], place[order]
+    new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(band) != 0)]) if len(doc) else np.zeros(0, bool)
+    found: dict[tuple[int, int, int], tuple[int, int, int, int, int]] = {}
+    bounds = np.append(np.flatnonzero(new), len(doc))
+    ends = np.append(index.starts[1:], len(index.body)) if len(index.starts) else index.starts
+    for g0, g1 in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        where = np.unique(place[g0:g1])
+        if len(where) < need:
+            continue
+        d, it, lowest = int(doc[g0]), int(item[g0]), int(band[g0]) * step
+        i0, i1 = int(index.starts[it]), int(ends[it]) - 1
+        starts = np.arange(max(i0, int(where[0]) + Q - width), min(int(where[-1]), i1 - width) + 1)
+        inside = np.searchsorted(where, starts + width - Q, "right") - np.searchsorted(where, starts, "left")
+        starts = starts[inside >= need]
+        for s0 in range(0, len(starts), 4096):
+            s = starts[s0 : s0 + 4096]
+            begin = s + lowest
+            cells = begin[:, None] + np.arange(width + 2 * step - 1)
+            ok = (cells >= offsets[d]) & (cells < offsets[d + 1])
+            windows = np.where(ok, body[np.clip(cells, 0, len(body) - 1)], 255)  # 255 is in no text
+            cost = least_edits(index.body[s[:, None] + np.arange(width)], windows)
+            for k in np.flatnonzero(cost <= edits).tolist():
+                key = (d, it, int(s[k] - i0) // width)
+                row = (d, it, int(s[k] - i0), int(max(begin[k], offsets[d]) - offsets[d]), int(cost[k]))
+                if key not in found or row[4] < found[key][4]:
+                    found[key] = row
+    return sorted(found.values())
 
 
 def longest_word_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -182,35 +241,49 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text",
         yield QGramIndex(ids, texts)
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id): documents that share at least min_words consecutive words with an item."""
+_WORDS_OF_DOC = f"select doc_id, ' ' || {words_sql('text')} || ' ' || chr(0) as words from part"
+
+
+def _per_block(docs: DataFrame, items: DataFrame, find: Callable, schema: str, doc_id: str, text: str) -> DataFrame:
+    """Union over the blocks of items of what `find(index, ids, body, offsets)` gives for runs of documents."""
     spark: SparkSession = docs.sparkSession
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sql = f"select doc_id, ' ' || {words_sql('text')} || ' ' || chr(0) as words from part"
     out = None
     for index in item_blocks(items):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            con, index = connection(), shared.value
+            con = connection()
             for batch in batches:
                 for part in byte_slices(batch, "text"):
-                    got = run_sql(con, sql, part).combine_chunks()
-                    texts = got.column("words").chunk(0) if got.num_rows else pa.array([], pa.string())
-                    if not len(texts):
-                        continue
-                    joined, offsets = _joined(texts)
-                    d, i = matches(index, joined, offsets, min_words)
-                    if len(d):
-                        ids = got.column("doc_id").chunk(0).take(pa.array(d))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(index.item_ids[i])], ["doc_id", "item_id"])
-
-        part = rows.mapInArrow(run, "doc_id bigint, item_id bigint")
+                    got = run_sql(con, _WORDS_OF_DOC, part).combine_chunks()
+                    if got.num_rows:
+                        yield find(shared.value, got.column("doc_id").chunk(0), *text_buffer(got.column("words").chunk(0)))
+
+        part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint")
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id): documents that share at least min_words consecutive words with an item."""
+
+    def find(index: QGramIndex, ids: pa.Array, body: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        d, i = matches(index, body, offsets, min_words)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array(index.item_ids[i])], ["doc_id", "item_id"])
+
+    return _per_block(docs, items, find, "doc_id bigint, item_id bigint", doc_id, text)
+
+
+def leaked_passages(docs: DataFrame, items: DataFrame, width: int = 80, edits: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id, item_at, doc_at, edits): passages of `width` bytes of an item that occur in a document with at most `edits` edits.
 
+    Places are bytes in the words joined by single spaces; of passages that overlap the best per `width` bytes of the item is told.
+    """
 
-def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    from solstrata.functions.arrow_batches import text_buffer
+    def find(index: QGramIndex, ids: pa.Array, body: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        rows = np.array(regions(index, body, offsets, width, edits), np.int64).reshape(-1, 5)
+        columns = [ids.take(pa.array(rows[:, 0])), pa.array(index.item_ids[rows[:, 1]]), *[pa.array(rows[:, k].astype(np.int32)) for k in (2, 3, 4)]]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "item_at", "doc_at", "edits"])
 
-    return text_buffer(texts)
+    return _per_block(docs, items, find, "doc_id bigint, item_id bigint, item_at int, doc_at int, edits int", doc_id, text)

@@ -61,6 +61,10 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), 80, 3)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.look_alike_pairs(table(spark, d, "documents"))
 
@@ -75,7 +79,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p4_found, p4_flags, p4_rates, p6_found, p7_packing, p7_fill, p8_found, p8_items, p9_found, p9_canonical, p9_classes)
+    for f in (p2_found, p2_groups, p4_found, p4_flags, p4_rates, p6_found, p7_packing, p7_fill, p8_found, p8_items, p8_passages, p9_found, p9_canonical, p9_classes)
 }
 
 _WORDS = canonical.words_sql("text")

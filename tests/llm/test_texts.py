@@ -65,16 +65,46 @@ def test_leaks_match_brute_force(spark):
     assert leakage.leaked_items(docs(spark, texts), frame.limit(0)).count() == 0 and leakage.leaked_items(docs(spark, texts).limit(0), frame).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.binary(max_size=12), st.binary(max_size=12), st.integers(0, 6))
-def test_banded_alignment(a, b, band):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
+def edits_within(passage, text):
+    """Least edits by which a passage occurs anywhere in a text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(passage, 1):
         now = [i]
-        for j, y in enumerate(b, 1):
+        for j, y in enumerate(text, 1):
             now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
         row = now
-    assert leakage.banded_alignment(a, b, band) == (row[-1] if row[-1] <= band else band + 1)
+    return min(row)
+
+
+def test_passages_with_edits_match_brute_force():
+    rnd = random.Random(11)
+    letters = "abcdefghij klm"
+    make = lambda n: re.sub(" +", " ", "".join(rnd.choice(letters) for _ in range(n))).strip()
+    items = [make(rnd.randint(60, 120)) for _ in range(6)]
+    texts = []
+    for _ in range(24):
+        item = rnd.choice(items)
+        at = rnd.randrange(max(1, len(item) - 55))
+        part = list(item[at : at + rnd.choice([30, 56, 60])])
+        for _ in range(rnd.randint(0, 4)):
+            k = rnd.randrange(len(part))
+            rnd.choice([lambda: part.__setitem__(k, "x"), lambda: part.insert(k, "y"), lambda: part.pop(k)])()
+        texts.append(make(rnd.randint(0, 40)) + "".join(part) + make(rnd.randint(0, 40)))
+    index = leakage.QGramIndex(list(range(len(items))), items)
+    import numpy as np
+    import pyarrow as pa
+
+    body, offsets = leakage.text_buffer(pa.array([f" {t} \0" for t in texts]))
+    width, edits = 52, 2
+    got = {(d, i) for d, i, *_ in leakage.regions(index, body, offsets, width, edits)}
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            padded = f" {item} "
+            if any(edits_within(padded[s : s + width], f" {t} ") <= edits for s in range(len(padded) - width + 1)):
+                want.add((d, i))
+    assert got == want and want
+    assert leakage.least_edits(np.frombuffer(b"abcd", np.uint8)[None], np.frombuffer(b"xabzd", np.uint8)[None]).tolist() == [1]
 
 
 @settings(max_examples=150, deadline=None)
