@@ -246,7 +246,7 @@ def erc4626_inflation(c: Corpus) -> DataFrame:
 
 
 def oracle_manipulation(c: Corpus) -> DataFrame:
-    guards = c.files.where("source is not null").select("path", rx("source", *TWAP).alias("twap"), rx("source", *STALENESS).alias("fresh"))
+    guards = c.contracts.groupBy("path").agg(F.bool_or(rx("code", *TWAP)).alias("twap"), F.bool_or(rx("code", *STALENESS)).alias("fresh"))
     rows = c.functions.where("has_body and contract_kind <> 'interface'").join(guards, "path")
     spot, feed, old = "|".join(SPOT_PRICE), r"\.latestRoundData\s*\(", r"\.latestAnswer\s*\("
     feeds = rows.where(rx("code", feed) & ~rx(_whole(), *SEQUENCER))
@@ -265,14 +265,16 @@ def dangerous_approve(c: Corpus) -> DataFrame:
     rows = _code_lines(c.functions.where(_is_open() & rx("code", call))).where(rx("text", r"\.\s*" + call))
     addresses = F.transform(F.filter("params", lambda p: p["type"] == "address"), lambda p: p["name"])
     spender = F.regexp_extract("text", r"\b(?:safeA|a)pprove\s*\(\s*(?:address\s*\(\s*)?(\w+)", 1)
-    chosen = F.array_contains(addresses, spender) & ~rx(_whole(), *ACCESS_GUARDS)
-    level = F.when(chosen, "critical").when(rx("text", *UNLIMITED), "high")
+    open_ = ~rx(_whole(), *ACCESS_GUARDS)
+    chosen = F.array_contains(addresses, spender) & open_ & rx("text", r"\.\s*approve\s*\(")
+    level = F.when(chosen, "critical").when(rx("text", *UNLIMITED) & open_, "high")
     rows = rows.withColumn("level", level)
     hard = _finding(rows.where("level is not null"), "at", "DEFI-006", "dangerous-approve", F.col("level"), "high", _title("Dangerous approval"), F.col("text"))
     soft = rows.where("level is null")
     dep = _finding(soft.where(rx("text", r"\.\s*safeApprove\s*\(")), "at", "DEFI-006", "dangerous-approve", "medium", "high", _title("Deprecated safeApprove"), F.col("text"))
     zero = r"\.\s*(?:safeA|a)pprove\s*\(\s*\w+\s*,\s*0\s*\)"
-    race = soft.where(rx("text", r"\.\s*approve\s*\(") & ~rx("code", zero))
+    fixed = rx("text", r"approve\s*\(\s*(?:address\s*\(\s*(?:this|0)\s*\)|[A-Z][A-Za-z_0-9]+\s*[,)])")
+    race = soft.where(rx("text", r"\.\s*approve\s*\(") & ~rx("code", zero) & ~fixed)
     return hard.unionByName(dep).unionByName(_finding(race, "at", "DEFI-006", "dangerous-approve", "low", "high", _title("Approval can be raced"), F.col("text")))
 
 
@@ -302,13 +304,18 @@ def override_removes_restriction(c: Corpus) -> DataFrame:
 
 def reentrancy(c: Corpus) -> DataFrame:
     """Functions that write state after a call out of the contract, by the ordered operations of each function."""
-    from solstrata.operators.state_ops import cei_violations, state_ops
+    from solstrata.operators.state_ops import cei_violations, helper_calls, state_ops
 
     rows = c.functions.where(F.col("has_body") & ~F.col("visibility").isin("internal", "private") & ~F.col("name").startswith("_") & _writes() & ~rx("signature", *REENTRANCY_GUARDS) & ~rx("code", r"(?m)^\s*_?(locked|mutex|entered|_status)\s*=[^=]"))
-    bad = cei_violations(state_ops(rows, c.blocks, c.variables))
+    ops = state_ops(rows, c.blocks, c.variables)
+    helped = helper_calls(rows, c.functions)
+    bad = cei_violations(ops.unionByName(helped))
     first = bad.groupBy("path", "contract", "function", "start_line").agg(F.min(F.struct("call_line", "write_line", "call_text", "variable")).alias("v"))
-    rows = first.select("path", "contract", F.col("function").alias("name"), "v.*")
-    return _finding(rows, "call_line", "REENTRANCY-001", "reentrancy", "critical", "high", F.concat(_title("Call before the write of a state variable"), F.lit(": "), "variable"), F.col("call_text"))
+    by_helper = helped.select("path", "contract", "function", F.col("line").alias("call_line")).distinct().withColumn("helper", F.lit(True))
+    rows = first.select("path", "contract", "function", "v.*").join(by_helper, ["path", "contract", "function", "call_line"], "left").withColumnRenamed("function", "name")
+    title = F.concat(_title("Call before the write of a state variable"), F.lit(": "), "variable")
+    direct = _finding(rows.where("helper is null"), "call_line", "REENTRANCY-001", "reentrancy", "critical", "high", title, F.col("call_text"))
+    return direct.unionByName(_finding(rows.where("helper"), "call_line", "REENTRANCY-002", "reentrancy", "high", "medium", title, F.col("call_text")))
 
 
 def variable_shadowing(c: Corpus) -> DataFrame:

@@ -51,6 +51,17 @@ def state_ops(functions: DataFrame, blocks: DataFrame, variables: DataFrame) ->
     return calls.unionByName(kept.select(*calls.columns))
 
 
+def helper_calls(functions: DataFrame, every: DataFrame) -> DataFrame:
+    """Operations of kind call for statements that call a function of the same contract which calls out; `every` has all functions."""
+    helpers = every.where(rx("code", _LOW, _INTERFACE)).select("path", "contract", F.col("name").alias("called")).distinct()
+    parts = functions.select("path", "contract", F.col("name").alias("function"), "start_line", "body_line", "code", F.posexplode(F.split("code", ";", -1)).alias("k", "text"))
+    upto = F.array_join(F.slice(F.split("code", ";", -1), 1, F.col("k")), ";")
+    said = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![.\w])([A-Za-z_]\w*)\s*\("), F.lit(1))))
+    rows = parts.withColumn("first", F.col("body_line") + _breaks(upto)).withColumn("called", said).where("called <> function").join(helpers, ["path", "contract", "called"], "left_semi")
+    before = F.call_function("regexp_extract", "text", F.concat(F.lit(r"(?s)^(.*?)\b"), "called", F.lit(r"\b")), F.lit(1))
+    return rows.select("path", "contract", "function", "start_line", (F.col("first") + _breaks(before)).alias("line"), (F.col("k") * 3).alias("seq"), F.lit("call").alias("kind"), F.col("called").alias("variable"), F.trim("text").alias("text"))
+
+
 def cei_violations(ops: DataFrame) -> DataFrame:
     """(path, contract, function, start_line, call_line, write_line, variable, call_text, distance): a write after a call in one function."""
     on = ["path", "contract", "function", "start_line"]

@@ -35,6 +35,7 @@ def test_each_detector_tells_the_bad_and_not_the_good(corpus, found):
 def test_severities_and_lines(found):
     got = {(r.path, r.rule_id): (r.severity, r.line) for r in found.collect()}
     assert got["bad/reentrancy/Bank.sol", "REENTRANCY-001"] == ("critical", 9)
+    assert got["bad/reentrancy/Helper.sol", "REENTRANCY-002"] == ("high", 8)
     assert got["bad/unchecked-call/Payer.sol", "CALL-002"] == ("medium", 9)
     assert got["bad/signature-replay/Permit.sol", "DEFI-003"][0] == "critical"
 
@@ -289,3 +290,21 @@ def test_offsets_scopes_and_as_of(spark):
     assert {(r.path, r.line_no): r.function_name for r in structure.enclosing_function(at, c.blocks).collect()} == {("a.sol", 1): None, ("a.sol", 4): "f", ("b.sol", 1): None}
     both = spark.createDataFrame([("x/a.sol", 'import "./b.sol";\nimport {T} from "lib1/t.sol";'), ("x/b.sol", ""), ("node_modules/lib1/t.sol", "")], "path string, source string")
     assert {(r.target, r.resolved) for r in structure.resolve_imports(both).collect()} == {("./b.sol", "x/b.sol"), ("lib1/t.sol", "node_modules/lib1/t.sol")}
+
+
+def test_explorer_source(spark, tmp_path):
+    from solstrata.sources import explorer
+
+    a, b, c = ("0x" + x * 40 for x in "abc")
+    (tmp_path / f"{a}.json").write_text(json.dumps({"status": "1", "result": [{"SourceCode": "contract A {}", "ContractName": "A"}]}))
+    (tmp_path / f"{b}.json").write_text(json.dumps({"status": "1", "result": [{"SourceCode": ""}]}))
+    spark.dataSource.register(explorer.ExplorerSource)
+    df = spark.read.format("explorer").option("path", str(tmp_path)).option("addresses", f"{a},{b.upper().replace('0X', '0x')},{c}").option("partitions", "2").option("rate", "1000").load()
+    assert {r.address: (r.is_verified, r.error) for r in df.collect()} == {a: (True, None), b: (False, None), c: (False, "FileNotFoundError")}
+    with pytest.raises(ValueError):
+        explorer.check_address("0x12")
+    slept, now = [], [0.0]
+    bucket = explorer.TokenBucket(2, clock=lambda: now[0], sleep=lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    for _ in range(4):
+        bucket.take()
+    assert slept == [0.5, 0.5]
