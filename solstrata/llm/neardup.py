@@ -41,7 +41,6 @@ SLOTS = 1 << 16
 #: Rows of one band key above which the key is split into blocks.
 BLOCK_ROWS = 2000
 FAN_OUT = 8
-_MISS = 0.02
 _WORD = np.zeros(256, bool)
 _WORD[list(b"0123456789_abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _WORD[128:] = True
@@ -52,9 +51,12 @@ _rng = np.random.default_rng(20240229)
 _SHIFT = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1), _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32))
 
 
-def band_rows(threshold: float) -> int:
-    """Hashes per band: as many as leave a pair exactly at the threshold unfound with at most 2 % probability."""
-    return max(r for r in range(1, 17) if (1 - threshold**r) ** (HASHES // r) <= _MISS or r == 1)
+def band_shape(threshold: float) -> tuple[int, int]:
+    """(hashes per band, bands): the longest bands that leave a pair exactly at the threshold unfound with at most
+    0.5 % probability, and as many of them as bring that to 0.15 %, if there are so many."""
+    miss = lambda r, n: (1 - threshold**r) ** n
+    rows = max(r for r in range(1, 17) if miss(r, HASHES // r) <= 0.005 or r == 1)
+    return rows, next((n for n in range(1, HASHES // rows) if miss(rows, n) <= 0.0015), HASHES // rows)
 
 
 def radius(threshold: float) -> int:
@@ -139,8 +141,7 @@ def _texts(df: DataFrame, record_id: str, text: str) -> DataFrame:
 
 def features(df: DataFrame, record_id: str, text: str, k: int, threshold: float) -> DataFrame:
     """(id, set_key, f0..f3, bands): digest of the set, fingerprint and 32-bit band keys of every text with words."""
-    rows = band_rows(threshold)
-    bands = HASHES // rows
+    rows, bands = band_shape(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -336,7 +337,7 @@ def similar_pairs(df: DataFrame, record_id: str, text: str, k: int = 5, threshol
     copied = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
     copies = members.join(copied, "rep")
     same = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    both = across.unionByName(same)
+    both = across.where("x <> y").unionByName(same)
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
