@@ -4,9 +4,9 @@
 into one table of a target schema: fields the target doesn't know, or whose value can't be cast, are kept as JSON in
 a rescue column until they are promoted or replayed into a typed column.
 
-All of it is JVM-side: texts are parsed once into variants, each field is reduced to a bounded profile (count by JSON
-type, shapes, a theta sketch of its values), and profiles are what is compared. So neither a dump nor a folder of any
-size is gathered in one place.
+All of it is JVM-side. Texts become variants and fields counts by JSON type; only where a field went and another came are
+values looked at, reduced to a bounded profile of each field (shapes, a theta sketch). So neither a dump nor a folder of
+any size is gathered in one place.
 
 Defined results: unreadable entries and entries that are no object are left out of comparisons (a dump without any
 readable entry is no dump) but kept whole in the rescue column of the table; rows without folder, dump or time take
@@ -21,6 +21,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solstrata.operators.snapshots import small_side
 from solstrata.session import materialize
 
 # JSON types, fixed values.
@@ -46,39 +47,50 @@ _ITEMS = r"""case when shape = 'list' then array_distinct(filter(regexp_extract_
 
 
 def json_fields(entries: DataFrame, text: str, keys: Sequence[str], lists: Sequence[str] = ("findings",)) -> DataFrame:
-    """(keys..., level, name, t, c): the non-null fields of each JSON object, and of the elements of the named lists.
+    """(keys..., level, name, t, value): the non-null fields of each JSON object, and of the elements of the named lists.
 
-    level is '' for the object itself and `findings[].` and so on for list elements; t is the JSON type, c the value as text.
+    level is '' for the object itself and `findings[].` and so on for list elements; t is the JSON type, value a variant. Each text
+    is parsed once: a field of a named list stands for itself and for its elements.
     """
     spark = entries.sparkSession
-    tops = entries.select(*keys, F.expr(f"try_parse_json(`{text}`)").alias("doc")).where("schema_of_variant(doc) like 'OBJECT%'")
-    fields = tops.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select(*keys, F.lit("").alias("level"), F.col("key").alias("name"), "value")
-    every = fields
-    for name in lists:
-        found = fields.where((F.col("name") == name) & F.expr("schema_of_variant(value) like 'ARRAY%'")).select(*keys, F.col("value").alias("doc"))
-        elements = found.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select(*keys, F.col("value").alias("doc"))
-        elements = elements.where("schema_of_variant(doc) like 'OBJECT%'")
-        inner = elements.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select(*keys, F.lit(f"{name}[].").alias("level"), F.col("key").alias("name"), "value")
-        every = every.unionByName(inner)
-    typed = every.withColumn("s", F.expr("schema_of_variant(value)")).withColumn("t", F.expr(_JSON_TYPE))
-    content = F.when(F.col("t").isin("array", "object"), F.to_json("value")).otherwise(F.expr("cast(value as string)"))
-    return typed.where("t is not null").select(*keys, "level", "name", "t", content.alias("c"))
+    docs = entries.select(*keys, F.expr(f"try_parse_json(`{text}`)").alias("doc")).where("doc is not null")
+    tops = docs.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).where("key is not null").select(*keys, F.col("key").alias("top"), F.col("value").alias("held"))
+    listed = F.col("top").isin(*lists) if lists else F.lit(False)
+    elements = F.expr("transform(coalesce(try_variant_get(held, '$', 'array<variant>'), array()), x -> named_struct('is_element', true, 'doc', x))")
+    itself = F.array(F.struct(F.lit(False).alias("is_element"), F.expr("cast(null as variant)").alias("doc")))
+    rows = tops.withColumn("part", F.explode(F.when(listed, F.concat(itself, elements)).otherwise(itself))).select(*keys, "top", "held", "part.*")
+    inner = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("doc").outer()))
+    inner = inner.where(~F.col("is_element") | F.col("key").isNotNull())
+    level = F.when(F.col("is_element"), F.concat("top", F.lit("[]."))).otherwise("")
+    out = inner.select(*keys, level.alias("level"), F.when(F.col("is_element"), F.col("key")).otherwise(F.col("top")).alias("name"), F.when(F.col("is_element"), F.col("value")).otherwise(F.col("held")).alias("value"))
+    typed = out.withColumn("s", F.expr("schema_of_variant(value)")).withColumn("t", F.expr(_JSON_TYPE))
+    return typed.where("t is not null").select(*keys, "level", "name", "t", "value")
+
+
+def _known(entries: DataFrame, folder: str, dump: str, written: str, text: str) -> DataFrame:
+    known = entries.where(F.col(folder).isNotNull() & F.col(dump).isNotNull() & F.col(written).isNotNull())
+    return known.select(F.col(folder).alias("folder"), F.col(dump).alias("dump"), F.col(written).alias("written"), F.col(text).alias("text"))
 
 
-def field_profiles(entries: DataFrame, folder: str, dump: str, written: str, text: str, lists: Sequence[str] = ("findings",)) -> DataFrame:
-    """(folder, dump, written, level, name, json_type, shapes, items, n): a bounded profile of each field of each dump."""
-    known = entries.where(F.col(folder).isNotNull() & F.col(dump).isNotNull() & F.col(written).isNotNull())
-    known = known.select(F.col(folder).alias("folder"), F.col(dump).alias("dump"), F.col(written).alias("written"), F.col(text).alias("text"))
+def field_types(known: DataFrame, lists: Sequence[str] = ("findings",)) -> DataFrame:
+    """(folder, dump, level, name, written, json_type): the fields of each dump, with the type that most of their values have."""
     rows = json_fields(known, "text", ["folder", "dump", "written"], lists)
-    rows = rows.withColumn("shape", F.expr(_SHAPE)).withColumn("item", F.explode_outer(F.expr(_ITEMS)))
     counts: list[Column] = [F.count_if(F.col("t") == t).alias(f"n_{t}") for t in _TYPES]
-    out = rows.groupBy("folder", "dump", "level", "name").agg(
-        F.min("written").alias("written"), F.collect_set("shape").alias("shapes"), F.expr("theta_sketch_agg(coalesce(item, ''), 10)").alias("items"), *counts
-    )
+    out = rows.groupBy("folder", "dump", "level", "name").agg(F.min("written").alias("written"), *counts)
     most = F.greatest(*[F.struct(F.col(f"n_{t}").alias("n"), F.lit(t).alias("t")) for t in _TYPES])
     return out.withColumn("json_type", most["t"]).drop(*[f"n_{t}" for t in _TYPES])
 
 
+def field_profiles(known: DataFrame, wanted: DataFrame, lists: Sequence[str] = ("findings",)) -> DataFrame:
+    """(folder, dump, level, name, shapes, items) of the wanted (folder, dump, level, name): a bounded profile of their values."""
+    dumps = small_side(materialize(wanted.select("folder", "dump").distinct(), "wanted-dumps"))
+    rows = json_fields(known.join(dumps, ["folder", "dump"], "left_semi"), "text", ["folder", "dump"], lists)
+    rows = rows.join(small_side(wanted), ["folder", "dump", "level", "name"], "left_semi")
+    content = F.when(F.col("t").isin("array", "object"), F.to_json("value")).otherwise(F.expr("cast(value as string)"))
+    rows = rows.withColumn("c", content).withColumn("shape", F.expr(_SHAPE)).withColumn("item", F.explode_outer(F.expr(_ITEMS)))
+    return rows.groupBy("folder", "dump", "level", "name").agg(F.collect_set("shape").alias("shapes"), F.expr("theta_sketch_agg(coalesce(item, ''), 10)").alias("items"))
+
+
 _NAME_TOKENS = "transform(split(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '$1_$2')), '[_. -]+'), x -> rtrim('s', x))"
 _NAME_LIKENESS = f"""case
  when lower(regexp_replace(old_name, '[_. -]', '')) = lower(regexp_replace(new_name, '[_. -]', '')) then 1.0
@@ -110,36 +122,42 @@ def field_changes(entries: DataFrame, folder: str, dump: str, written: str, text
     change is added, removed, renamed or retyped. A rename pairs a removed with an added field of the same level; pairs are
     taken in the order of their likeness (ties by name), each field once.
     """
-    profiles = materialize(field_profiles(entries, folder, dump, written, text, lists), "field-profiles")
-    dumps = profiles.groupBy("folder", "dump").agg(F.min("written").alias("written"))
+    known = _known(entries, folder, dump, written, text)
+    types = materialize(field_types(known, lists), "field-types")
+    dumps = types.groupBy("folder", "dump").agg(F.min("written").alias("written"))
     w = Window.partitionBy("folder").orderBy("written", "dump")
-    steps = dumps.select("folder", "dump", F.lag("dump").over(w).alias("before")).where("before is not null")
+    steps = small_side(materialize(dumps.select("folder", "dump", F.lag("dump").over(w).alias("before")).where("before is not null"), "dump-steps"))
     at = ["folder", "dump", "level", "name"]
-    new = profiles.join(steps.select("folder", "dump"), ["folder", "dump"]).select(*at, F.struct("json_type", "shapes", "items").alias("new"))
-    old = profiles.withColumnRenamed("dump", "before").join(steps, ["folder", "before"]).select(*at, F.struct("json_type", "shapes", "items").alias("old"))
-    both = materialize(old.join(new, at, "full"), "field-steps")
-    gone = both.where("new is null").select("folder", "dump", "level", F.col("name").alias("old_name"), "old")
-    come = both.where("old is null").select("folder", "dump", "level", F.col("name").alias("new_name"), "new")
-    pairs = gone.join(come, ["folder", "dump", "level"])
+    new = types.join(steps, ["folder", "dump"]).select(*at, F.col("before").alias("before_new"), F.col("json_type").alias("new_type"))
+    old = types.withColumnRenamed("dump", "before").join(steps, ["folder", "before"]).select(*at, "before", F.col("json_type").alias("old_type"))
+    both = materialize(old.join(new, at, "full").where("not old_type <=> new_type"), "field-steps")
+    gone = both.where("new_type is null").select("folder", "dump", "level", F.col("name").alias("old_name"), "before", "old_type")
+    come = both.where("old_type is null").select("folder", "dump", "level", F.col("name").alias("new_name"), "new_type")
+    on = ["folder", "dump", "level"]
+    pairs = materialize(gone.join(come, on), "field-pairs")
+    # values are looked at only where a field went and another came, and only of those fields
+    wanted = pairs.select("folder", F.explode(F.array(F.struct(F.col("before").alias("dump"), "level", F.col("old_name").alias("name")), F.struct("dump", "level", F.col("new_name").alias("name")))).alias("x"))
+    profiles = materialize(field_profiles(known, materialize(wanted.select("folder", "x.*").distinct(), "wanted-fields"), lists), "field-profiles")
+    pairs = pairs.join(profiles.select("folder", F.col("dump").alias("before"), "level", F.col("name").alias("old_name"), F.struct("shapes", "items").alias("old")), ["folder", "before", "level", "old_name"])
+    pairs = pairs.join(profiles.select("folder", "dump", "level", F.col("name").alias("new_name"), F.struct("shapes", "items").alias("new")), ["folder", "dump", "level", "new_name"])
     pairs = pairs.select("folder", "dump", "level", "old_name", "new_name", F.array_sort("old.shapes").alias("old_shapes"), F.col("new.shapes").alias("new_shapes"),
         F.expr("theta_sketch_estimate(old.items)").alias("old_n"), F.expr("theta_sketch_estimate(new.items)").alias("new_n"),
         F.expr("arrays_overlap(old.shapes, new.shapes)").alias("alike"), F.expr(_NAME_LIKENESS).alias("name_like"),
         F.expr("theta_sketch_estimate(theta_intersection(old.items, new.items))").alias("both_n"),
-        F.col("old.json_type").alias("old_type"), F.col("new.json_type").alias("new_type"))
+        "old_type", "new_type")
     pairs = pairs.withColumn("shared", F.expr("both_n / greatest(least(old_n, new_n), 1)")).withColumn("likeness", F.expr(_LIKENESS)).where("likeness >= 0.4")
     chosen = pairs.groupBy("folder", "dump", "level").agg(F.expr(_GREEDY).alias("chosen"))
     chosen = materialize(chosen.select("folder", "dump", "level", F.explode("chosen").alias("x")).select("folder", "dump", "level", "x.*"), "field-renames")
-    on = ["folder", "dump", "level"]
     added = come.join(chosen.select(*on, "new_name"), [*on, "new_name"], "left_anti")
     removed = gone.join(chosen.select(*on, "old_name"), [*on, "old_name"], "left_anti")
-    types = pairs.select(*on, "old_name", "new_name", "old_type", "new_type").join(chosen, [*on, "old_name", "new_name"])
+    renamed = pairs.select(*on, "old_name", "new_name", "old_type", "new_type").join(chosen, [*on, "old_name", "new_name"])
 
     def rows(df: DataFrame, change: str, field: str, other: str) -> DataFrame:
         return df.select("dump", F.lit(change).alias("change"), F.concat("level", field).alias("field"), F.concat("level", other).alias("new_field"))
 
-    kept = both.where("old is not null and new is not null and old.json_type <> new.json_type")
+    kept = both.where("old_type <> new_type")
     parts = [rows(added, "added", "new_name", "new_name"), rows(removed, "removed", "old_name", "old_name"), rows(kept, "retyped", "name", "name"),
-        rows(chosen, "renamed", "old_name", "new_name"), rows(types.where("old_type <> new_type"), "retyped", "new_name", "new_name")]
+        rows(chosen, "renamed", "old_name", "new_name"), rows(renamed.where("old_type <> new_type"), "retyped", "new_name", "new_name")]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
