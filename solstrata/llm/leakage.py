@@ -96,7 +96,8 @@ def least_edits(passages: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def regions(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, width: int, edits: int) -> list[tuple[int, int, int, int, int]]:
-    """(document number, item number, place in item, place in document, edits): passages of `width` bytes that occur with at most `edits` edits.
+    """(document number, item number, place in item, place in document, edits): passages of `width` bytes, from the blank before
+    a word, that occur with at most `edits` edits.
 
     Of neighbouring passages of one item and band the one with the fewest edits is kept, the first of several.
     """
@@ -116,6 +117,22 @@ def regions(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, width: int
     np.add.at(near, stop[dense], -1)
     at = np.flatnonzero(known & (np.cumsum(near[:-1]) > 0))
     first, last = np.searchsorted(index.hashes, hashes[at], "left"), np.searchsorted(index.hashes, hashes[at], "right")
+    found: dict[tuple[int, int, int], tuple[int, int, int, int, int]] = {}
+    # no passage spans a gap in the hits that is longer than a passage, so stretches between gaps are looked at in turn
+    cut = np.flatnonzero(np.diff(at) > reach + Q) + 1
+    edges = np.concatenate([[0], cut, [len(at)]])
+    size = np.concatenate([[0], np.cumsum(last - first)])
+    begin = 0
+    while begin < len(edges) - 1:
+        end = max(begin + 1, int(np.searchsorted(size[edges], size[edges[begin]] + 1_000_000, "right")) - 1)
+        part = slice(int(edges[begin]), int(edges[end]))
+        _stretch(index, body, offsets, at[part], first[part], last[part], width, edits, need, found)
+        begin = end
+    return sorted(found.values())
+
+
+def _stretch(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, edits: int, need: int, found: dict) -> None:
+    """Add to found the passages among the hits `at`, whose places in the items are numbers first to last of the index."""
     n = last - first
     place = index.places[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
     pos = np.repeat(at, n)
@@ -128,7 +145,7 @@ def regions(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, width: int
     order = np.lexsort((place, band, item, doc))
     band, doc, item, place = band[order], doc[order], item[order], place[order]
     new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(band) != 0)]) if len(doc) else np.zeros(0, bool)
-    found: dict[tuple[int, int, int], tuple[int, int, int, int, int]] = {}
+    todo = []
     bounds = np.append(np.flatnonzero(new), len(doc))
     ends = np.append(index.starts[1:], len(index.body)) if len(index.starts) else index.starts
     for g0, g1 in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -138,21 +155,25 @@ def regions(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, width: int
         d, it, lowest = int(doc[g0]), int(item[g0]), int(band[g0]) * step
         i0, i1 = int(index.starts[it]), int(ends[it]) - 1
         starts = np.arange(max(i0, int(where[0]) + Q - width), min(int(where[-1]), i1 - width) + 1)
+        starts = starts[index.body[starts] == 32]
         inside = np.searchsorted(where, starts + width - Q, "right") - np.searchsorted(where, starts, "left")
         starts = starts[inside >= need]
-        for s0 in range(0, len(starts), 4096):
-            s = starts[s0 : s0 + 4096]
-            begin = s + lowest
-            cells = begin[:, None] + np.arange(width + 2 * step - 1)
-            ok = (cells >= offsets[d]) & (cells < offsets[d + 1])
-            windows = np.where(ok, body[np.clip(cells, 0, len(body) - 1)], 255)  # 255 is in no text
-            cost = least_edits(index.body[s[:, None] + np.arange(width)], windows)
-            for k in np.flatnonzero(cost <= edits).tolist():
-                key = (d, it, int(s[k] - i0) // width)
-                row = (d, it, int(s[k] - i0), int(max(begin[k], offsets[d]) - offsets[d]), int(cost[k]))
-                if key not in found or row[4] < found[key][4]:
-                    found[key] = row
-    return sorted(found.values())
+        todo.append((np.full(len(starts), d), np.full(len(starts), it), starts, np.full(len(starts), lowest)))
+    if not todo:
+        return
+    d_all, it_all, s_all, low_all = (np.concatenate(x) for x in zip(*todo))
+    for k0 in range(0, len(s_all), 4096):
+        d, it, s, begin = (x[k0 : k0 + 4096] for x in (d_all, it_all, s_all, s_all + low_all))
+        cells = begin[:, None] + np.arange(width + 2 * step - 1)
+        ok = (cells >= offsets[d][:, None]) & (cells < offsets[d + 1][:, None])
+        windows = np.where(ok, body[np.clip(cells, 0, len(body) - 1)], 255)  # 255 is in no text
+        cost = least_edits(index.body[s[:, None] + np.arange(width)], windows)
+        for k in np.flatnonzero(cost <= edits).tolist():
+            at_item = int(s[k] - index.starts[it[k]])
+            row = (int(d[k]), int(it[k]), at_item, int(max(begin[k], offsets[d[k]]) - offsets[d[k]]), int(cost[k]))
+            key = (row[0], row[1], at_item // width)
+            if key not in found or row[4] < found[key][4]:
+                found[key] = row
 
 
 def longest_word_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -276,7 +297,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 12, doc_id:
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, width: int = 80, edits: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, item_at, doc_at, edits): passages of `width` bytes of an item that occur in a document with at most `edits` edits.
+    """(doc_id, item_id, item_at, doc_at, edits): passages of `width` bytes of an item, from the blank before a word, that occur in a
+    document with at most `edits` edits.
 
     Places are bytes in the words joined by single spaces; of passages that overlap the best per `width` bytes of the item is told.
     """
