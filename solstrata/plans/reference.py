@@ -15,7 +15,7 @@ from solstrata.sources import files as src, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 EXCLUDED = ("test/**", "**/*V2.sol", "*Token.sol")
-OVERRIDES = (("SOLSEC-AUTH-001", "critical", None), ("SOLSEC-INIT-001", "low", None))
+OVERRIDES = (("AUTH", "critical", None), ("INIT", "low", None))
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -382,7 +382,7 @@ select 'severity' as dimension, severity as value, count(*) as findings from r g
 union all select 'confidence', confidence, count(*) from r group by confidence union all select 'total', '', count(*) from r""",
     "findings_per_file": f"select path, count(*) as findings, max({_RANK.format('severity')}) as worst from {_B} where path is not null group by path",
     "severe_findings": f"select project_root, line, fingerprint_id, severity from {_B} where severity in ('high', 'critical')",
-    "overridden_findings": f"select rule_id, case rule_id when 'SOLSEC-AUTH-001' then 'critical' when 'SOLSEC-INIT-001' then 'low' else severity end as severity, count(*) as findings from {_B} where rule_id is not null group by all",
+    "overridden_findings": f"select rule_id, case detector when 'AUTH' then 'critical' when 'INIT' then 'low' else severity end as severity, count(*) as findings from {_B} where rule_id is not null group by all",
     "kept_findings": f"select path, count(*) as findings from {_B} where path is not null and (starts_with(path, '<') or not ({_GLOBS} or {_BASE_GLOBS})) group by path",
     "finding_fingerprints": rf"""with n as (select coalesce(nullif(rule_id, ''), nullif(detector, ''), 'unknown') as rule, lower(regexp_replace(replace(coalesce(path, ''), '\', '/'), '^(\./)+', '')) as p,
   lower(trim(regexp_replace(coalesce(title, ''), '[\t\n\f\r ]+', ' ', 'g'))) as t from {_B})
