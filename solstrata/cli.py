@@ -76,6 +76,11 @@ def _parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
+    if args.command == "explain":
+        known = [r for r in rules.RULES if r[4] == args.detector]
+        for rule in known:
+            print(f"{rule[0]}  {rule[2]}/{rule[3]}  {rule[1]}")
+        return 0 if known else 2
     spark = session()
     if args.command == "scan":
         found_config = args.config or src.find_config(args.path)
@@ -94,11 +99,6 @@ def main(argv: list[str] | None = None) -> int:
             reports.report(args.format or config.output.get("format", "text"), found, out, corpus.files.count())
         errors = corpus.files.where("source is null").select("path")
         return fin.exit_code(found, errors, config.fail_on).first().exit_code
-    if args.command == "explain":
-        known = [r for r in rules.RULES if r[4] == args.detector]
-        for rule in known:
-            print(f"{rule[0]}  {rule[2]}/{rule[3]}  {rule[1]}")
-        return 0 if known else 2
     if args.command == "rules":
         table = rules.catalogue(spark)
         if args.action == "show":

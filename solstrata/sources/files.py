@@ -33,7 +33,7 @@ def read_sources(spark: SparkSession, root: str, suffixes: Sequence[str] = (".so
     """(path, source) below root, paths relative to it; `defaults` applies the usual skips, `exclude` further globs."""
     root = os.path.abspath(root)
     pattern = "*{" + ",".join(suffixes) + "}"
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     full = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:(//)?", "")
     df = df.select(F.substring(full, F.lit(len(root.rstrip("/")) + 2), F.length(full)).alias("path"), F.col("value").alias("source"))
     if defaults:

@@ -239,7 +239,7 @@ def test_files_config_and_baselines(spark, tmp_path):
     for name in ("a.sol", "test/b.sol", "lib/c.sol", "x y+z.sol", "d.t.sol", "n.txt"):
         p = tmp_path / "src" / name
         p.parent.mkdir(parents=True, exist_ok=True)
-        p.write_text("contract A {}\n")
+        p.write_text("contract A {\n}\n")
     got = {r.path for r in src.read_sources(spark, str(tmp_path / "src")).collect()}
     assert got == {"a.sol", "x y+z.sol"}
     assert src.read_sources(spark, str(tmp_path / "src"), defaults=False).count() == 5
@@ -308,3 +308,21 @@ def test_explorer_source(spark, tmp_path):
     for _ in range(4):
         bucket.take()
     assert slept == [0.5, 0.5]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from solstrata import cli
+
+    for name in ("bad/tx-origin/Wallet.sol", "bad/reentrancy/Bank.sol"):
+        p = tmp_path / "src" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(SAMPLES[name])
+    root, base = str(tmp_path / "src"), str(tmp_path / "base")
+    assert cli.main(["scan", root, "--format", "json"]) == 1
+    doc = json.loads(capsys.readouterr().out)
+    assert doc["summary"]["files"] == 2 and {f["rule_id"] for f in doc["findings"]} == {"AUTH-001", "REENTRANCY-001"}
+    assert cli.main(["scan", root, "--detectors", "tx-origin", "--fail-on", "critical"]) == 0
+    assert cli.main(["baseline", "create", root, "--file", base]) == 0
+    assert cli.main(["scan", root, "--baseline", base]) == 0
+    assert cli.main(["explain", "reentrancy"]) == 0 and cli.main(["explain", "nothing"]) == 2
+    assert cli.main(["rules", "list", "--severity", "low"]) == 0 and "INIT-003" in capsys.readouterr().out
