@@ -184,7 +184,7 @@ def test_after_detection(spark, found):
     assert findings.merge_baseline(base, base).count() == base.count()
     o = spark.createDataFrame([("reentrancy", "low", None), ("AUTH-001", None, "low")], "name string, severity string, confidence string")
     changed = {(r.rule_id, r.severity, r.confidence) for r in findings.apply_overrides(found, o).where("detector in ('reentrancy', 'tx-origin')").collect()}
-    assert changed == {("REENTRANCY-001", "low", "high"), ("AUTH-001", "high", "low")}
+    assert changed == {("REENTRANCY-001", "low", "high"), ("REENTRANCY-002", "low", "medium"), ("AUTH-001", "high", "low")}
     assert findings.at_least(found, "critical").where("severity <> 'critical'").count() == 0
     assert findings.exclude_paths(found, ["bad/**"]).where("path like 'bad/%'").count() == 0
     assert findings.suppress_configured(found, [findings.Ignore(expires="2020-01-01"), findings.Ignore(expires="never")], "2024-01-01").count() == found.count()
