@@ -222,16 +222,16 @@ def matches(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, min_words:
         pos = np.repeat(at[s : s + chunk], n)
         diagonal = pos - place
         doc = np.searchsorted(offsets, pos, "right") - 1
-        key = np.lexsort((pos, diagonal, doc))
-        doc, diagonal, pos = doc[key], diagonal[key], pos[key]
-        new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(diagonal) != 0)])
+        item_no = np.searchsorted(index.starts, place, "right") - 1  # several items can lie on one diagonal
+        key = np.lexsort((pos, diagonal, item_no, doc))
+        doc, item_no, diagonal = doc[key], item_no[key], diagonal[key]
+        new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item_no) != 0) | (np.diff(diagonal) != 0)])
         group = np.flatnonzero(new)
         count = np.diff(np.concatenate([group, [len(doc)]]))
         # of the q-grams that begin before a word of the passage, all but those of its last Q characters are shared
         ok = count >= max(1, min_words - Q // 2) if s == 0 and chunk >= len(at) else count >= 1
         for g in group[ok].tolist():
-            d, diag, p = int(doc[g]), int(diagonal[g]), int(pos[g])
-            item = int(np.searchsorted(index.starts, p - diag, "right")) - 1
+            d, item, diag = int(doc[g]), int(item_no[g]), int(diagonal[g])
             if (d, item) in found:
                 continue
             i0 = int(index.starts[item])

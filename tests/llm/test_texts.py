@@ -65,6 +65,14 @@ def test_leaks_match_brute_force(spark):
     assert leakage.leaked_items(docs(spark, texts), frame.limit(0)).count() == 0 and leakage.leaked_items(docs(spark, texts).limit(0), frame).count() == 0
 
 
+def test_items_quoted_in_a_numbered_list_are_all_found(spark):
+    items = [" ".join(f"{w}{i}" for w in "who may call the withdraw function of this vault after each deposit".split()) for i in range(4)]
+    texts = [" ".join(f"{n} {t}" for n, t in enumerate(items, 1)), " 7 ".join(items[1:3])]
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = sorted(tuple(r) for r in leakage.leaked_items(docs(spark, texts), frame).collect())
+    assert got == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (1, 2)]
+
+
 def edits_within(passage, text):
     """Least edits by which a passage occurs anywhere in a text."""
     row = [0] * (len(text) + 1)
