@@ -2,8 +2,9 @@
 
 Templates with optional and replaceable sections are compiled into backtracking grammars and matched against the
 complete text of a comment or license file. In a template, `[...]` is optional, `(a|b)` a choice, `<n>` stands for at most
-n words that may be anything, `{name}` for the name of a license and `{spdx}` for a license expression. What the
-templates find is then aggregated: names that differ are a conflict, no name leaves the next source of evidence to decide.
+n words that may be anything, `<*>` for any number of them, and `{spdx}` for a license expression, the name of a license at
+least. All ways in which a text matches count, so a text can name several licenses. What the templates find is then
+aggregated: names that differ are a conflict, no name leaves the next source of evidence to decide.
 
 Defined results: a record has what its header comments and its license field name; if these name nothing, what
 its repository has; without repository UNKNOWN. Null and empty fields name nothing. Records without id and license files without
@@ -51,18 +52,21 @@ _PARTS = {
 }
 # What header comments and license files look like. Matched completely, after cleaning.
 _TEMPLATES = [
-    "[<60> ]spdx-license-identifier[ ]:[ ]{spdx}[ <60>]",
-    "[<40> ](licensed|released|distributed|published|offered|available|provided|used) under [the terms of ]{name}[ <60>]",
-    "[<40> ]under the terms of {name}[ <60>]",
-    "[<40> ][@custom:](license|licence)[ ]:[ ]{name}[ <60>]",
-    "[<40> ]@custom:(license|licence) {name}[ <60>]",
-    "[<6> ](license|licence) {name}[ <60>]",
-    "{name}[ copyright <80>]",
-    "[<20> ]permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <200>{=MIT}",
-    "[<20> ]this is free and unencumbered software released into the public domain[ <300>]{=Unlicense}",
-    "[<20> ]this source code form is subject to the terms of the mozilla public license v. 2.0[ <60>]{=MPL-2.0}",
-    "[<20> ]redistribution and use in source and binary forms <60> neither the name of <200>{=BSD-3-Clause}",
+    "[<*> ]spdx-license-identifier[ ]:[ ]{spdx}[ <*>]",
+    "[<*> ](licensed|released|distributed|published|offered|available|provided|used) under [the terms of ][either ][of ]{spdx}[ <*>]",
+    "[<*> ]under the terms of [either ][of ]{spdx}[ <*>]",
+    "[<*> ][@custom:](license|licence)[ ]:[ ]{spdx}[ <*>]",
+    "[<*> ]@custom:(license|licence) {spdx}[ <*>]",
+    "[<*> ](license|licence) {spdx}[ <*>]",
+    "[<*> ]permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files[ <*>]{=MIT}",
+    "[<*> ]this is free and unencumbered software released into the public domain[ <*>]{=Unlicense}",
+    "[<*> ]this source code form is subject to the terms of the mozilla public license v. 2.0[ <*>]{=MPL-2.0}",
+    "[<*> ]redistribution and use in source and binary forms <60> neither the name of[ <*>]{=BSD-3-Clause}",
 ]
+#: Matched against each paragraph.
+_TITLE = "{spdx}[ copyright <*>]"
+#: Words before a name that make it that of another license, or of one that holds later.
+_NOT_AFTER = "(?<!change )"
 
 
 def clean(text: str) -> str:
@@ -87,8 +91,8 @@ def compile_template(template: str, parts: dict[str, str]) -> str:
             out.append(c)
         elif c == "<":
             end = template.index(">", i)
-            most = int(template[i + 1 : end])
-            out.append(rf"\S+(?: \S+){{0,{most - 1}}}?")
+            most = template[i + 1 : end]
+            out.append(r"\S+(?: \S+)*?" if most == "*" else rf"\S+(?: \S+){{0,{int(most) - 1}}}?")
             i = end
         elif c == "{":
             end = template.index("}", i)
@@ -100,21 +104,24 @@ def compile_template(template: str, parts: dict[str, str]) -> str:
     return "".join(out)
 
 
+def _anywhere(template: str, parts: dict[str, str]) -> re.Pattern:
+    """Pattern whose every find is a complete match of a template: free outer sections only have to end at a blank."""
+    inner = template.removeprefix("[<*> ]").removesuffix("[ <*>]")
+    before = r"(?<!\S)" + _NOT_AFTER if template.startswith("[<*> ]") else r"\A"
+    return re.compile(before + compile_template(inner, parts) + (r"(?!\S)" if template.endswith("[ <*>]") else r"\Z"))
+
+
 @functools.lru_cache(maxsize=1)
 def _grammars() -> tuple[list[tuple[str, re.Pattern]], list[tuple[re.Pattern, str | None]], re.Pattern]:
     parts = {k: compile_template(v, {}) for k, v in _PARTS.items()}
     names = [(spdx, "|".join(compile_template(t, parts) for t in texts)) for spdx, texts in _NAMES.items()]
     any_name = "(?:" + "|".join(f"(?:{p})" for _, p in names) + ")(?![\\w-])(?!\\.\\d)"
-    spdx = rf"\(? ?{any_name}(?: with [\w.-]+)?(?: (?:or|and) {any_name}(?: with [\w.-]+)?)* ?\)?"
+    held = {"spdx": rf"(?P<spdx>\(? ?{any_name}(?: with [\w.-]+)?(?: (?:or|and) {any_name}(?: with [\w.-]+)?)* ?\)?)"}
     templates: list[tuple[re.Pattern, str | None]] = []
     for text in _TEMPLATES:
-        said = None
-        if "{=" in text:
-            text, _, said = text.partition("{=")
-            said = said.rstrip("}")
-        held = {"name": f"(?P<name>{any_name})", "spdx": f"(?P<spdx>{spdx})"}
-        templates.append((re.compile(compile_template(text, held)), said))
-    return [(s, re.compile(p)) for s, p in names], templates, re.compile(any_name)
+        text, _, said = text.partition("{=")
+        templates.append((_anywhere(text, held), said.rstrip("}") or None))
+    return [(s, re.compile(p)) for s, p in names], templates, _anywhere(_TITLE, held)
 
 
 def named(text: str) -> str | None:
@@ -139,22 +146,17 @@ def expression(text: str) -> frozenset[str]:
 
 @functools.lru_cache(maxsize=20_000)
 def licenses_of_text(text: str) -> frozenset[str]:
-    """Licenses that a comment or license file names, by the first template that matches all of it."""
+    """Licenses that a comment or license file names, by all templates and wherever they match."""
+    _, templates, title = _grammars()
     cleaned = clean(text)
-    if not cleaned:
-        return frozenset()
-    for pattern, said in _grammars()[1]:
-        m = pattern.fullmatch(cleaned)
-        if m is None:
-            continue
-        if said:
-            return frozenset([said])
-        found = m.groupdict()
-        if found.get("spdx"):
-            return expression(found["spdx"])
-        if name := named(found["name"]):
-            return frozenset([name])
-    return frozenset()
+    out: set[str] = set()
+    for pattern, said in templates:
+        for m in pattern.finditer(cleaned):
+            out |= {said} if said else expression(m["spdx"])
+    for paragraph in re.split(r"(?:\r\n|\r|\n)\s*[\r\n]", text):
+        if m := title.match(clean(paragraph)):
+            out |= expression(m["spdx"])
+    return frozenset(out)
 
 
 _COMMENT = re.compile(r"(\s*)(//[^\n\r]*|/\*.*?\*/)", re.S)

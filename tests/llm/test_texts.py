@@ -236,6 +236,23 @@ def test_license_headers(source, names):
     assert licenses.record_licenses(source, None) == names
 
 
+@pytest.mark.parametrize("text,names", [
+    ("// SPDX-License-Identifier: MIT\n// Licensed under the GPL-3.0\n", ["GPL-3.0", "MIT"]), ("/* SPDX-License-Identifier: MIT\n SPDX-License-Identifier: MPL-2.0 */", ["MIT", "MPL-2.0"]),
+    ("// Licensed under MIT or Apache-2.0\n// Copyright x", ["Apache-2.0 OR MIT"]), ("// SPDX-License-Identifier: MIT\n// license: mit", ["MIT"]),
+    ("// SPDX-License-Identifier: BUSL-1.1\n// Change License: GPL-2.0-or-later", ["BUSL-1.1"]), ("// SPDX-License-Identifier: LGPL-3.0\n", ["LGPL-3.0"]),
+])
+def test_all_licenses_of_one_comment(text, names):
+    assert licenses.record_licenses(text, None) == names
+
+
+@pytest.mark.parametrize("text,names", [
+    ("# Tool\n\nSPDX-License-Identifier: MIT\n\nSome words. Parts were released under Apache 2.0.", ["Apache-2.0", "MIT"]), ("MIT License\n\nCopyright x\n\nApache License 2.0\n\nCopyright y", ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: MIT OR\nApache-2.0\n", ["Apache-2.0 OR MIT"]), ("# Tool\n\nwords", []),
+])
+def test_all_licenses_of_one_file(text, names):
+    assert licenses.file_licenses(text, "README.md") == names
+
+
 def test_licenses_of_records_and_repositories(spark):
     schema = "source_id bigint, repo string, sourcecode string, licensetype string, name string, names string"
     rows = [(1, "r", "// SPDX-License-Identifier: MIT\n", "GPL-3.0"), (2, "r", "contract A {}", None), (3, None, None, " "), (4, "q", "", "mit"), (5, "p", "", None), (6, "both", "", None)]
