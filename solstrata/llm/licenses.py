@@ -2,7 +2,7 @@
 
 Templates with optional and replaceable sections are compiled into backtracking grammars and matched against the
 complete text of a comment or license file. In a template, `[...]` is optional, `(a|b)` a choice, `<n>` stands for at most
-n words that may be anything, `<*>` for any number of them, and `{spdx}` for a license expression, the name of a license at
+n words that may be anything, `<*>` for any number of them, `<but x>` likewise but without the words x, and `{spdx}` for a license expression, the name of a license at
 least. All ways in which a text matches count, so a text can name several licenses. What the templates find is then
 aggregated: names that differ are a conflict, no name leaves the next source of evidence to decide.
 
@@ -61,7 +61,19 @@ _TEMPLATES = [
     "[<*> ]permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files[ <*>]{=MIT}",
     "[<*> ]this is free and unencumbered software released into the public domain[ <*>]{=Unlicense}",
     "[<*> ]this source code form is subject to the terms of the mozilla public license v. 2.0[ <*>]{=MPL-2.0}",
-    "[<*> ]redistribution and use in source and binary forms <60> neither the name of[ <*>]{=BSD-3-Clause}",
+    "[<*> ]redistribution and use in source and binary forms <but advertising materials> (neither the name of|the name of the author may not be used|the names of the contributors may not be used)[ <*>]{=BSD-3-Clause}",
+    "[<*> ](redistribute it and/or modify it|it) under the terms of the gnu general public (license|licence) as published by the free software foundation[ either] version 2 of the (license|licence)[ <*>]{=GPL-2.0}",
+    "[<*> ](redistribute it and/or modify it|it) under the terms of the gnu general public (license|licence) as published by the free software foundation[ either] version 3 of the (license|licence)[ <*>]{=GPL-3.0}",
+    "[<*> ](redistribute it and/or modify it|it) under the terms of the gnu lesser general public (license|licence) as published by the free software foundation[ either] version 3 of the (license|licence)[ <*>]{=LGPL-3.0}",
+    "[<*> ](redistribute it and/or modify it|it) under the terms of the gnu affero general public (license|licence) as published by the free software foundation[ either] version 3 of the (license|licence)[ <*>]{=AGPL-3.0}",
+    # heads of the full texts
+    "[<*> ]gnu general public license version 2 june 1991[ <*>]{=GPL-2.0}",
+    "[<*> ]gnu general public license version 3 29 june 2007[ <*>]{=GPL-3.0}",
+    "[<*> ]gnu lesser general public license version 3 29 june 2007[ <*>]{=LGPL-3.0}",
+    "[<*> ]gnu affero general public license version 3 19 november 2007[ <*>]{=AGPL-3.0}",
+    "[<*> ]apache license version 2.0 january 2004[ <*>]{=Apache-2.0}",
+    "[<*> ]mozilla public license[ version] 2.0[ <1>] 1 definitions[ <*>]{=MPL-2.0}",
+    "[<*> ]business source license 1.1[ <1>] (license text copyright|parameters|licensor)[ <*>]{=BUSL-1.1}",
 ]
 #: Matched against each paragraph.
 _TITLE = "{spdx}[ copyright <*>]"
@@ -92,7 +104,10 @@ def compile_template(template: str, parts: dict[str, str]) -> str:
         elif c == "<":
             end = template.index(">", i)
             most = template[i + 1 : end]
-            out.append(r"\S+(?: \S+)*?" if most == "*" else rf"\S+(?: \S+){{0,{int(most) - 1}}}?")
+            if most.startswith("but "):
+                out.append(rf"(?:(?!{re.escape(most[4:])})\S+ )*?(?!{re.escape(most[4:])})\S+")
+            else:
+                out.append(r"\S+(?: \S+)*?" if most == "*" else rf"\S+(?: \S+){{0,{int(most) - 1}}}?")
             i = end
         elif c == "{":
             end = template.index("}", i)

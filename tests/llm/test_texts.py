@@ -253,6 +253,51 @@ def test_all_licenses_of_one_file(text, names):
     assert licenses.file_licenses(text, "README.md") == names
 
 
+WORDS = "this work of many authors comes with some further notes on where each part was taken from "
+BSD = """Copyright (c) 2020, X. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+{}3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize("text,names", [
+    (BSD.format(""), ["BSD-3-Clause"]), (BSD.format("3. All advertising materials mentioning features of this software must display an acknowledgement.\n\n"), []), (BSD[: BSD.index("{}")], []),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n" + WORDS * 90, ["Apache-2.0"]),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n" + WORDS * 90, ["GPL-2.0"]), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + WORDS * 90, ["GPL-3.0"]),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + WORDS * 90, ["LGPL-3.0"]), ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\n" + WORDS * 90, ["AGPL-3.0"]),
+    ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n\n" + WORDS * 90, ["MPL-2.0"]),
+    ("Business Source License 1.1\n\nLicense text copyright (c) 2017 X. \"Business Source License\" is a trademark.\n\nParameters\n\nLicensor: Y\n\nChange License: GNU General Public License v2.0 or later\n\n"
+     + WORDS * 90 + "\n1. To specify as the Change License the GPL Version 2.0 or any later version, or a license that is compatible", ["BUSL-1.1"]),
+    ("# Tool\n\n" + WORDS * 20 + "\n\nReleased under the MIT license.\n\n" + WORDS * 20, ["MIT"]),
+], ids=range(11))
+def test_full_license_texts(text, names):
+    assert licenses.file_licenses(text, "LICENSE") == names
+
+
+@pytest.mark.parametrize("name,names", [("Apache-2.0", ["Apache-2.0"]), ("GPL-2", ["GPL-2.0"]), ("GPL-3", ["GPL-3.0"]), ("LGPL-3", ["LGPL-3.0"]), ("MPL-2.0", ["MPL-2.0"]), ("MPL-1.1", []), ("LGPL-2.1", [])])
+def test_license_texts_of_the_system(name, names):
+    from pathlib import Path
+
+    path = Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no such text here")
+    assert licenses.file_licenses(path.read_text(), "LICENSE") == names
+
+
+def test_long_header_blocks():
+    free = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    for kind, name in (("", "GPL-3.0"), ("Lesser ", "LGPL-3.0"), ("Affero ", "AGPL-3.0")):
+        assert licenses.record_licenses(f"/* {WORDS * 9}\n{free.format(kind)}\n{WORDS * 9} */", None) == [name]
+    assert licenses.record_licenses(f"/*\n * SPDX-License-Identifier: MPL-2.0\n * {WORDS * 9}\n */", None) == ["MPL-2.0"]
+    assert licenses.record_licenses(f"/* {WORDS * 9} Licensed under Apache-2.0. {WORDS * 9} */", None) == ["Apache-2.0"]
+
+
 def test_licenses_of_records_and_repositories(spark):
     schema = "source_id bigint, repo string, sourcecode string, licensetype string, name string, names string"
     rows = [(1, "r", "// SPDX-License-Identifier: MIT\n", "GPL-3.0"), (2, "r", "contract A {}", None), (3, None, None, " "), (4, "q", "", "mit"), (5, "p", "", None), (6, "both", "", None)]
