@@ -105,8 +105,7 @@ _LIKENESS = """case
  when alike and old_shapes[0] = 'integer' and shared >= 0.5 and least(old_n, new_n) >= 5 then 1 + 0.5 * shared + 0.5 * name_like
  when alike and name_like > 0 then 0.5 + 0.5 * name_like + 0.3 * shared
  when name_like = 1.0 then 0.9
- when name_like >= 0.7 and arrays_overlap(old_shapes, array('integer', 'word', 'bool')) and arrays_overlap(new_shapes, array('integer', 'word', 'bool'))
-   and greatest(old_n, new_n) <= 12 then 0.6
+ when name_like >= 0.7 and arrays_overlap(old_shapes, array('integer', 'word', 'bool')) and arrays_overlap(new_shapes, array('integer', 'word', 'bool')) then 0.6
  when alike and old_shapes[0] = 'list' then 0.4 + 0.5 * shared
  else 0.0 end"""
 

@@ -39,6 +39,13 @@ def test_no_rename_of_unlike_fields_or_flags(spark):
     assert kinds == {("removed", "description"), ("added", "recommendation"), ("removed", "is_test"), ("added", "cached")}
 
 
+def test_renamed_and_retyped_whatever_the_number_of_entries(spark):
+    for n in (10, 400):
+        one = [{"keep": 1, "duration": f"{i}ms"} for i in range(n)]
+        two = [{"keep": 1, "duration_ms": i} for i in range(n)]
+        assert changes(spark, [("d", one), ("d", two)]) == {(1, "renamed", "duration", "duration_ms"), (1, "retyped", "duration_ms", "duration_ms")}
+
+
 def test_nulls_unreadable_and_repeated_entries(spark):
     assert changes(spark, [("d", [{"a": 1, "b": None}, "{", "", "[1]"]), ("d", [{"a": 2, "b": None}, {"a": 2, "b": None}]), ("e", [{"z": 1}])]) == set()
     assert changes(spark, [("d", [{"a": 1}]), ("d", ["{"]), ("d", [{"b": "x y"}])]) == {(2, "removed", "a", "a"), (2, "added", "b", "b")}
