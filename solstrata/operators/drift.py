@@ -5,8 +5,8 @@ into one table of a target schema: fields the target doesn't know, or whose valu
 a rescue column until they are promoted or replayed into a typed column.
 
 All of it is JVM-side. Texts become variants and fields counts by JSON type; only where a field went and another came are
-values looked at, reduced to a bounded profile of each field (shapes, a theta sketch). So neither a dump nor a folder of
-any size is gathered in one place.
+values looked at: the shapes of each field, and its distinct values by their hashes, counted exactly and joined to find shared
+ones. So neither a dump nor a folder of any size is gathered in one place.
 
 Defined results: unreadable entries and entries that are no object are left out of comparisons (a dump without any
 readable entry is no dump) but kept whole in the rescue column of the table; rows without folder, dump or time take
@@ -41,7 +41,7 @@ _SHAPE = r"""case when t in ('array', 'object') then 'list'
  when c rlike '^\\S*[/\\\\]\\S*$' then 'path' when c rlike '^\\S+$' then 'word'
  when c rlike '[;=(){}]' then 'code' else 'prose' end"""
 
-#: What is put into the sketch: the parts of a list (in whatever JSON type it is written), else the value itself.
+#: What is compared: the parts of a list (in whatever JSON type it is written), else the value itself.
 _ITEMS = r"""case when shape = 'list' then array_distinct(filter(regexp_extract_all(c, '[A-Za-z0-9_.\\-]+', 0), x -> not x in ('name', 'version', 'id')))
  when shape = 'time' then array(coalesce(cast(unix_seconds(try_cast(c as timestamp)) as string), left(c, 10))) else array(c) end"""
 
@@ -81,14 +81,30 @@ def field_types(known: DataFrame, lists: Sequence[str] = ("findings",)) -> DataF
     return out.withColumn("json_type", most["t"]).drop(*[f"n_{t}" for t in _TYPES])
 
 
-def field_profiles(known: DataFrame, wanted: DataFrame, lists: Sequence[str] = ("findings",)) -> DataFrame:
-    """(folder, dump, level, name, shapes, items) of the wanted (folder, dump, level, name): a bounded profile of their values."""
+def field_values(known: DataFrame, wanted: DataFrame, lists: Sequence[str] = ("findings",)) -> DataFrame:
+    """(folder, dump, level, name, item, shapes) of the wanted (folder, dump, level, name): the distinct values, as hashes (null for empty ones)."""
     dumps = small_side(materialize(wanted.select("folder", "dump").distinct(), "wanted-dumps"))
     rows = json_fields(known.join(dumps, ["folder", "dump"], "left_semi"), "text", ["folder", "dump"], lists)
     rows = rows.join(small_side(wanted), ["folder", "dump", "level", "name"], "left_semi")
     content = F.when(F.col("t").isin("array", "object"), F.to_json("value")).otherwise(F.expr("cast(value as string)"))
     rows = rows.withColumn("c", content).withColumn("shape", F.expr(_SHAPE)).withColumn("item", F.explode_outer(F.expr(_ITEMS)))
-    return rows.groupBy("folder", "dump", "level", "name").agg(F.collect_set("shape").alias("shapes"), F.expr("theta_sketch_agg(coalesce(item, ''), 10)").alias("items"))
+    rows = rows.withColumn("item", F.expr("unhex(md5(nullif(item, '')))"))
+    return rows.groupBy("folder", "dump", "level", "name", "item").agg(F.collect_set("shape").alias("shapes"))
+
+
+def field_profiles(values: DataFrame) -> DataFrame:
+    """(folder, dump, level, name, shapes, n): the shapes of each field's values and the number of distinct ones."""
+    return values.groupBy("folder", "dump", "level", "name").agg(F.array_distinct(F.flatten(F.collect_set("shapes"))).alias("shapes"), F.count("item").alias("n"))
+
+
+def shared_values(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(folder, dump, level, old_name, new_name, both_n): how many distinct values the two fields of a pair share, if any."""
+    on = ["folder", "dump", "level"]
+    old = values.select("folder", F.col("dump").alias("before"), "level", F.col("name").alias("old_name"), "item")
+    old = old.join(small_side(materialize(pairs.select(*on, "before", "old_name").distinct(), "fields-gone")), ["folder", "before", "level", "old_name"])
+    new = values.select(*on, F.col("name").alias("new_name"), "item")
+    new = new.join(small_side(materialize(pairs.select(*on, "new_name").distinct(), "fields-come")), [*on, "new_name"], "left_semi")
+    return old.join(new, [*on, "item"]).groupBy(*on, "old_name", "new_name").agg(F.count("*").alias("both_n"))
 
 
 _NAME_TOKENS = "transform(split(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '$1_$2')), '[_. -]+'), x -> rtrim('s', x))"
@@ -136,13 +152,16 @@ def field_changes(entries: DataFrame, folder: str, dump: str, written: str, text
     pairs = materialize(gone.join(come, on), "field-pairs")
     # values are looked at only where a field went and another came, and only of those fields
     wanted = pairs.select("folder", F.explode(F.array(F.struct(F.col("before").alias("dump"), "level", F.col("old_name").alias("name")), F.struct("dump", "level", F.col("new_name").alias("name")))).alias("x"))
-    profiles = materialize(field_profiles(known, materialize(wanted.select("folder", "x.*").distinct(), "wanted-fields"), lists), "field-profiles")
-    pairs = pairs.join(profiles.select("folder", F.col("dump").alias("before"), "level", F.col("name").alias("old_name"), F.struct("shapes", "items").alias("old")), ["folder", "before", "level", "old_name"])
-    pairs = pairs.join(profiles.select("folder", "dump", "level", F.col("name").alias("new_name"), F.struct("shapes", "items").alias("new")), ["folder", "dump", "level", "new_name"])
+    values = materialize(field_values(known, materialize(wanted.select("folder", "x.*").distinct(), "wanted-fields"), lists), "field-values")
+    profiles = materialize(field_profiles(values), "field-profiles")
+    common = materialize(shared_values(values, pairs), "field-shared")
+    pairs = pairs.join(profiles.select("folder", F.col("dump").alias("before"), "level", F.col("name").alias("old_name"), F.struct("shapes", "n").alias("old")), ["folder", "before", "level", "old_name"])
+    pairs = pairs.join(profiles.select("folder", "dump", "level", F.col("name").alias("new_name"), F.struct("shapes", "n").alias("new")), ["folder", "dump", "level", "new_name"])
+    pairs = pairs.join(common, [*on, "old_name", "new_name"], "left")
     pairs = pairs.select("folder", "dump", "level", "old_name", "new_name", F.array_sort("old.shapes").alias("old_shapes"), F.col("new.shapes").alias("new_shapes"),
-        F.expr("theta_sketch_estimate(old.items)").alias("old_n"), F.expr("theta_sketch_estimate(new.items)").alias("new_n"),
+        F.col("old.n").alias("old_n"), F.col("new.n").alias("new_n"),
         F.expr("arrays_overlap(old.shapes, new.shapes)").alias("alike"), F.expr(_NAME_LIKENESS).alias("name_like"),
-        F.expr("theta_sketch_estimate(theta_intersection(old.items, new.items))").alias("both_n"),
+        F.coalesce("both_n", F.lit(0)).alias("both_n"),
         "old_type", "new_type")
     pairs = pairs.withColumn("shared", F.expr("both_n / greatest(least(old_n, new_n), 1)")).withColumn("likeness", F.expr(_LIKENESS)).where("likeness >= 0.4")
     chosen = pairs.groupBy("folder", "dump", "level").agg(F.expr(_GREEDY).alias("chosen"))

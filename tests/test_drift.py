@@ -46,6 +46,13 @@ def test_renamed_and_retyped_whatever_the_number_of_entries(spark):
         assert changes(spark, [("d", one), ("d", two)]) == {(1, "renamed", "duration", "duration_ms"), (1, "retyped", "duration_ms", "duration_ms")}
 
 
+def test_shared_values_are_counted_whatever_their_number(spark):
+    one = [{"findings": [{"keep": 1, "origin": f"w{k}x"} for k in range(i * 500, i * 500 + 500)]} for i in range(200)]
+    for step in (1, 1000, 2000):
+        two = [{"findings": [{"keep": 1, "commit": f"w{i * step}x"}]} for i in range(50)]
+        assert changes(spark, [("d", one), ("d", two)]) == {(1, "renamed", "findings[].origin", "findings[].commit")}
+
+
 def test_nulls_unreadable_and_repeated_entries(spark):
     assert changes(spark, [("d", [{"a": 1, "b": None}, "{", "", "[1]"]), ("d", [{"a": 2, "b": None}, {"a": 2, "b": None}]), ("e", [{"z": 1}])]) == set()
     assert changes(spark, [("d", [{"a": 1}]), ("d", ["{"]), ("d", [{"b": "x y"}])]) == {(2, "removed", "a", "a"), (2, "added", "b", "b")}
