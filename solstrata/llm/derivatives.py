@@ -5,7 +5,8 @@ token, so a text is valid if the last derivative contains the empty text. Langua
 and derivatives memoised across texts, so parsing turns into a table lookup per token as soon as its shapes have been seen.
 
 An empty derivative marks the exact token that cannot stand where it is; a last derivative without the empty text means that
-the text ends too early. Grammars must not be left-recursive; ambiguity does no harm, since equal alternatives collapse.
+the text ends too early. Grammars must not be left-recursive; ambiguity does no harm, since equal alternatives collapse and
+common beginnings of alternatives are taken out.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ class Grammar:
             if not more:
                 break
             self._null_rules |= more
+            self.nullables = {EMPTY: False, EPSILON: True}
         self.start = self.rules[self.start_rule]
 
     def token(self, kind: str) -> int:
@@ -65,6 +67,8 @@ class Grammar:
         shape = self.nodes[a]
         if shape[0] == "cat":
             return self.cat(shape[1], self.cat(shape[2], b))
+        if shape[0] == "alt":
+            return self.alt([self.cat(x, b) for x in shape[1:]])
         return self._node("cat", a, b)
 
     def alt(self, parts: Sequence[int]) -> int:
@@ -75,10 +79,32 @@ class Grammar:
                 flat.update(shape[1:])
             elif p != EMPTY:
                 flat.add(p)
+        if len(flat) > 1:
+            flat = self._factored(flat)
         if len(flat) <= 1:
             return next(iter(flat), EMPTY)
         return self._node("alt", *sorted(flat))
 
+    def _factored(self, parts: set[int]) -> set[int]:
+        """The alternatives with common beginnings taken out: h x | h y | h is h (x | y | epsilon).
+
+        Since no sequence begins with alternatives either (see cat), languages are tries, or stacks that share their lower parts:
+        what begins alike is derived once, and nesting costs a step per level however many readings a beginning has.
+        """
+        tails: dict[int, list[int]] = {}
+        for p in parts:
+            shape = self.nodes[p]
+            head, tail = (shape[1], shape[2]) if shape[0] == "cat" else (p, EPSILON)
+            tails.setdefault(head, []).append(tail)
+        if len(tails) == len(parts):
+            return parts
+        out: set[int] = set()
+        for head, rest in tails.items():
+            node = self.cat(head, self.alt(rest))
+            shape = self.nodes[node]
+            out.update(shape[1:] if shape[0] == "alt" else (node,))
+        return out
+
     def star(self, a: int) -> int:
         return EPSILON if a in (EMPTY, EPSILON) else self._node("star", a)
 
@@ -121,9 +147,9 @@ class Grammar:
     def _null(self, n: int) -> bool:
         kind, *rest = self.nodes[n]
         if kind == "cat":
-            return self._null(rest[0]) and self._null(rest[1])
+            return self._null(rest[0]) and self.nullable(rest[1])
         if kind == "alt":
-            return any(self._null(x) for x in rest)
+            return any(self.nullable(x) for x in rest)
         if kind == "rule":
             return rest[0] in self._null_rules
         return kind in ("star", "epsilon")

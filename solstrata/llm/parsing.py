@@ -20,6 +20,7 @@ from solstrata.functions.arrow_batches import byte_slices
 
 # Languages by extension.
 _LANGUAGE_OF = {"sol": "Solidity", "vy": "Vyper", "py": "Python", "json": "JSON"}
+_OTHER = "other"
 
 
 def extension(path: str = "file_path") -> Column:
@@ -77,10 +78,16 @@ def flagged_files(files: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def failure_rates(files: DataFrame) -> DataFrame:
-    """(repo, language, files, broken, truncated, rate) with a row per repository and language, per language (repo null), and for all."""
-    parsed = parse_files(files).where("status <> 'unknown'")
-    groups = parsed.select(F.coalesce("repo", F.lit("")).alias("repo"), "language", "status")
-    counts = groups.groupBy("repo", "language").agg(F.count("*").alias("files"), F.count_if(F.col("status") == "broken").alias("broken"), F.count_if(F.col("status") == "truncated").alias("truncated"))
-    sums = [F.sum(c).alias(c) for c in ("files", "broken", "truncated")]
+    """(repo, language, files, broken, truncated, rate) with a row per repository and language, per language (repo null), and for all.
+
+    Files that are not checked count under the language 'other', have no rate and don't enter that of all files.
+    """
+    parsed = parse_files(files).select(F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("language", F.lit(_OTHER)).alias("language"), "status")
+    counts = parsed.groupBy("repo", "language").agg(F.count("*").alias("files"), F.count_if(F.col("status") == "broken").alias("broken"), F.count_if(F.col("status") == "truncated").alias("truncated"))
+    checked = F.col("language") != _OTHER
+    sums = [F.sum("files").alias("every"), *[F.coalesce(F.sum(F.when(checked, F.col(c))), F.lit(0)).alias(c) for c in ("files", "broken", "truncated")]]
     out = counts.groupingSets([["repo", "language"], ["language"], []], "repo", "language").agg(*sums)
-    return out.select("repo", "language", "files", "broken", "truncated", F.round((F.col("broken") + F.col("truncated")) / F.col("files"), 6).alias("rate"))
+    out = out.withColumn("files", F.when(F.col("language") == _OTHER, F.col("every")).otherwise(F.col("files")))
+    bad = F.col("broken") + F.col("truncated")
+    rate = F.when(F.col("language").isNull() | checked, F.round(bad / F.nullif("files", F.lit(0)), 6))
+    return out.select("repo", "language", "files", "broken", "truncated", rate.alias("rate"))
