@@ -1,5 +1,6 @@
 import json
 import random
+import time
 import re
 import unicodedata
 from collections import Counter
@@ -120,12 +121,47 @@ def test_passages_with_edits_match_brute_force():
 def test_histogram_is_placed_whole(histogram, capacity):
     placed = Counter()
     for pattern, packs in packing.pack_histogram(histogram, capacity):
-        assert sum(length * n for length, n in pattern.items()) <= capacity and packs > 0
-        for length, n in pattern.items():
+        held = list(packing.pattern_items(pattern))
+        assert sum(length * n for length, n in held) <= capacity and packs > 0
+        for length, n in held:
             placed[length] += n * packs
     assert placed == Counter(histogram)
 
 
+def test_packs_do_not_depend_on_settings_or_order(spark, data):
+    counts = packing.materialize(packing.token_counts(spark.read.parquet(f"{data}/documents.parquet")), "counts")
+    kinds = spark.read.parquet(f"{data}/containers.parquet")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = []
+        for n in (4, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            rows = packing.pack_documents(counts if n == 4 else counts.orderBy("n_tokens"), kinds)
+            got.append({tuple(r) for r in rows.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_a_large_capacity_is_packed_soon_and_well():
+    rnd = random.Random(2)
+    histogram = Counter(min(1_000_000, int(rnd.paretovariate(0.7) * 50)) for _ in range(300_000))
+    began = time.perf_counter()
+    packs = packing.pack_histogram(histogram, 1_000_000)
+    assert time.perf_counter() - began < 10
+    least = -(-sum(length * n for length, n in histogram.items()) // 1_000_000)
+    assert sum(n for _, n in packs) <= 1.01 * least + 1
+
+
+def test_many_kinds_of_container(spark):
+    counts = spark.createDataFrame([(i, i % 9) for i in range(40)], "doc_id bigint, n_tokens bigint")
+    kinds = spark.createDataFrame([(i, 8 + i % 3) for i in range(packing.CONTAINER_BLOCK + 3)], "container_id bigint, capacity_tokens int")
+    got = Counter()
+    for r in packing.pack_documents(counts, kinds).collect():
+        got[r.container_id] += r.piece_tokens
+    assert got == {i: sum(k % 9 for k in range(40)) for i in range(packing.CONTAINER_BLOCK + 3)}
+
+
 def test_packing(spark):
     rnd = random.Random(1)
     sizes = [rnd.choice([1, 7, 7, 7, 30, 64, 65, 200]) for _ in range(500)] + [0, 640]
