@@ -1,12 +1,12 @@
 """What changed between full snapshots of a table.
 
-The index of a snapshot is a table of keys and hashes of the compared values, hash-partitioned by key. A new
-snapshot probes the index of the last one: a key that is missing there was added, a key of the index that nobody asked
-for was removed, a key with another hash was changed. Values are fetched for changed keys only. Then the indexes are
-swapped: that of the new snapshot becomes the last one.
+The index of the last snapshot is a table of keys and 128-bit hashes of the compared values, bucketed by key, so that probing
+it with a new snapshot in the same buckets shuffles nothing. A key that is missing there was added, a key of the index that
+nobody asked for was removed, a key with another hash was changed. Values are fetched for changed keys only. Then the indexes
+are swapped: that of the new snapshot becomes the last one.
 
-`probe` is the shared step. `diff_snapshots` makes all probes of a history at once, since the index of each snapshot
-serves the next one present; `SnapshotIndex` keeps the index between deliveries.
+`diff_snapshots` runs a whole history through such an index, delivery after delivery; a group that misses a delivery keeps its
+entries for the next. `SnapshotIndex` keeps the index in a folder between runs.
 
 Defined results: rows without key, group or snapshot number are left out; of several rows for one key in a
 snapshot the last by `latest` holds (nulls lowest, then the greater hash); exact repeats count once; a snapshot
@@ -15,12 +15,13 @@ exists if it has any row, even rows without key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from solstrata.session import materialize
+from solstrata.session import materialize, work_path
 
 #: Above so many rows a side table is joined by shuffle instead of being sent to every executor.
 BROADCAST_ROWS = 200_000
@@ -32,11 +33,11 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def value_hash(*columns: Column) -> Column:
-    """64-bit hash in which a null differs from any value and from its neighbours."""
+    """128-bit hash (a, b) in which a null differs from any value and from its neighbours."""
     parts: list[Column] = []
     for c in columns:
         parts += [c.isNull().cast("int"), F.coalesce(c.cast("string"), F.lit(""))]
-    return F.xxhash64(*parts)
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second half"), *parts, F.hash(*parts)).alias("b"))
 
 
 def finding_hash() -> Column:
@@ -68,13 +69,54 @@ def probe(new: DataFrame, index: DataFrame, on: Sequence[str]) -> DataFrame:
     return both.select(*on, change.alias("change")).where("change is not null")
 
 
+def bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int, by: Sequence[str] = ()) -> DataFrame:
+    """df written to path in buckets of its keys, and read back as a table that knows them; df must be partitioned that way."""
+    spark, name = df.sparkSession, f"solstrata_{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, *keys)
+    (writer.partitionBy(*by) if by else writer).saveAsTable(name)
+    return spark.table(name)
+
+
+def bucket_count(rows: int) -> int:
+    """Buckets of about a quarter million rows, at least 8."""
+    return max(8, min(16384, -(-rows // 250_000)))
+
+
+def advance_index(index: DataFrame | None, new: DataFrame, present: DataFrame) -> DataFrame:
+    """(grp, key, hash, alive, change): the index (grp, key, hash) after a snapshot (grp, key, hash) of the groups in `present` (grp, is_first).
+
+    A row that was removed is not alive and no longer in the index; change is null for what stayed, for what a group's first
+    snapshot has, and for groups that are not present. All three are in the same buckets, so nothing is shuffled.
+    """
+    on = ["grp", "key"]
+    left = new.select(*on, F.col("hash").alias("new_hash"))
+    if index is None:
+        return left.join(present, "grp").select(*on, F.col("new_hash").alias("hash"), F.lit(True).alias("alive"), F.lit(None).cast("string").alias("change"))
+    both = left.join(index.select(*on, F.col("hash").alias("old_hash")), on, "full").join(present, "grp", "left")
+    here, in_new, in_old = F.col("is_first").isNotNull(), F.col("new_hash").isNotNull(), F.col("old_hash").isNotNull()
+    change = F.when(in_new & ~in_old & ~F.col("is_first"), "added").when(here & in_old & ~in_new, "removed").when(in_new & in_old & (F.col("new_hash") != F.col("old_hash")), "changed")
+    return both.select(*on, F.coalesce("new_hash", "old_hash").alias("hash"), (in_new | ~here).alias("alive"), change.alias("change"))
+
+
 def diff_snapshots(df: DataFrame, group: str, number: str, key: str, hashed: Column, latest: Sequence[str]) -> DataFrame:
-    """(grp, no, key, change) for every two snapshots of a group that follow each other; no is the later one's."""
-    order = small_side(materialize(snapshot_order(df, group, number), "snapshot-order"))
-    rows = snapshot_rows(df, group, number, key, hashed, latest).join(order, ["grp", "no"])
-    new = rows.where("prev_no is not null").select("grp", "key", "no", "hash")
-    index = rows.where("next_no is not null").select("grp", "key", F.col("next_no").alias("no"), "hash")
-    return probe(new, index, ["grp", "key", "no"]).select("grp", "no", "key", "change")
+    """(grp, no, key, change) for every two snapshots of a group that follow each other; no is the later one's.
+
+    One pass writes all rows in buckets of (group, key), a partition per snapshot number. Then the index of the last snapshots goes
+    through the numbers, a job each: probe, and write the index that takes its place together with the changes.
+    """
+    spark = df.sparkSession
+    order = materialize(snapshot_order(df, group, number), "snapshot-order")
+    rows = snapshot_rows(df, group, number, key, hashed, latest)
+    at, buckets = work_path(spark, "snapshots"), bucket_count(df.select(F.lit(1)).count())
+    rows = bucketed(rows.repartition(buckets, "grp", "key").select("grp", "key", "hash", "no"), f"{at}/rows", ["grp", "key"], buckets, ["no"])
+    index, out = None, None
+    for (no,) in order.select("no").distinct().orderBy("no").toLocalIterator():  # as many as there were deliveries
+        present = small_side(order.where(F.col("no") == no).select("grp", F.col("prev_no").isNull().alias("is_first")))
+        version = bucketed(advance_index(index, rows.where(F.col("no") == no), present), f"{at}/index-{no}", ["grp", "key"], buckets)
+        index = version.where("alive")
+        part = version.where("change is not null").select("grp", F.lit(no).cast(order.schema["no"].dataType).alias("no"), "key", "change")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else rows.select("grp", "no", "key", F.lit("").alias("change")).limit(0)
 
 
 def finding_changes(findings: DataFrame) -> DataFrame:
@@ -86,8 +128,9 @@ def finding_changes(findings: DataFrame) -> DataFrame:
 class SnapshotIndex:
     """The index of the last snapshot, kept in a folder between deliveries.
 
-    Each version is one folder of bucketed Parquet (keys, hash) beside the values of that snapshot; CURRENT names the
-    version in force and is replaced last, so a run that dies leaves the old version in force.
+    Each version is a bucketed table of keys, hash and values in a folder of its own. The version in force is the highest that has a
+    file in `commits`, which is made last, in one step, after the changes are written: a run that dies before leaves the old version
+    in force, and the delivery can be repeated. Versions before the last one are removed only then.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], compared: Sequence[str], buckets: int = 64):
@@ -99,39 +142,46 @@ class SnapshotIndex:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int | None:
-        p, fs = self._fs("CURRENT")
+        p, fs = self._fs("commits")
         if not fs.exists(p):
             return None
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
-
-    def _swap(self, version: int) -> None:
-        p, fs = self._fs("CURRENT.new")
-        out = fs.create(p, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        target, _ = self._fs("CURRENT")
-        fs.delete(target, False)
-        fs.rename(p, target)
+        return max((int(f.getPath().getName()) for f in fs.listStatus(p)), default=None)
+
+    def _commit(self, version: int) -> None:
+        p, fs = self._fs(f"commits/{version}")
+        fs.create(p, False).close()
+
+    def _forget(self, before: int) -> None:
+        p, fs = self._fs("")
+        for f in fs.listStatus(p):
+            name = f.getPath().getName()
+            if name.startswith("v") and name[1:].isdigit() and int(name[1:]) < before:
+                fs.delete(f.getPath(), True)
+
+    def _read(self, version: int, like: DataFrame) -> DataFrame:
+        name = f"solstrata_{uuid.uuid4().hex}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema.fields)
+        clustered = ", ".join(f"`{k}`" for k in self.keys)
+        self.spark.sql(f"create table {name} ({columns}) using parquet clustered by ({clustered}) into {self.buckets} buckets location '{self.path}/v{version}'")
+        return self.spark.table(name)
 
     def advance(self, snapshot: DataFrame) -> DataFrame:
         """Take in the next full snapshot; returns (keys..., change, old struct, new struct) against the last one.
 
         old and new are filled for changed keys only. Of several rows for one key one is kept (the greatest).
         """
-        values = [c for c in self.compared]
+        values = self.compared
         rows = snapshot.dropna(subset=self.keys).groupBy(*self.keys).agg(F.max(F.struct(*values)).alias("value"))
         rows = rows.withColumn("hash", value_hash(*[F.col("value")[c] for c in values]))
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
         last = self.version()
         now = 0 if last is None else last + 1
-        at = f"{self.path}/v{now}"
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
-        new = self.spark.read.parquet(at)
-        old = self.spark.read.parquet(f"{self.path}/v{last}") if last is not None else new.limit(0)
-        changes = probe(new.select("bucket", *self.keys, "hash"), old.select("bucket", *self.keys, "hash"), ["bucket", *self.keys])
-        wanted = changes.where("change = 'changed'").select("bucket", *self.keys)
-        fetched = old.join(wanted, ["bucket", *self.keys], "left_semi").select(*self.keys, F.col("value").alias("old"))
-        fetched = fetched.join(new.join(wanted, ["bucket", *self.keys], "left_semi").select(*self.keys, F.col("value").alias("new")), self.keys)
-        out = materialize(changes.drop("bucket").join(fetched, self.keys, "left").select(*self.keys, "change", "old", "new"), "snapshot-changes")
-        self._swap(now)
+        new = bucketed(rows.repartition(self.buckets, *self.keys), f"{self.path}/v{now}", self.keys, self.buckets)
+        old = self._read(last, new) if last is not None else new.limit(0)
+        changes = materialize(probe(new.select(*self.keys, "hash"), old.select(*self.keys, "hash"), self.keys), "snapshot-changes")
+        wanted = changes.where("change = 'changed'").select(*self.keys)
+        fetched = old.join(wanted, self.keys, "left_semi").select(*self.keys, F.col("value").alias("old"))
+        fetched = fetched.join(new.join(wanted, self.keys, "left_semi").select(*self.keys, F.col("value").alias("new")), self.keys)
+        out = materialize(changes.join(fetched, self.keys, "left").select(*self.keys, "change", "old", "new"), "snapshot-changes")
+        self._commit(now)
+        self._forget(now)
         return out

@@ -16,13 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) a folder of our own is made and set.
+    Where that setting is absent a folder of our own is made and set, but only if driver and executors are one process
+    (tests, one machine); on a cluster that would be another disk on every machine, so it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="solstrata-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -37,15 +40,34 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Folders of this session's intermediate tables, in the order they were made.
+_made: list[tuple[SparkSession, str]] = []
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when Python ends or by release()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Delete all intermediate tables made so far; results that were not written yet can no longer be read."""
+    while _made:
+        _delete(*_made.pop())
+
+
+atexit.register(release)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back.
 
-    It cuts the lineage and survives the loss of executors. The table is deleted when Python ends.
+    It cuts the lineage and survives the loss of executors. The table is deleted when Python ends, or by release().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

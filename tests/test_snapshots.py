@@ -57,6 +57,42 @@ def test_index_between_deliveries(spark, tmp_path):
     assert index.version() == 1 and index.advance(make([("b", "2", None), ("c", "1", 1)])).count() == 0
 
 
+def test_a_run_that_dies_before_the_swap_changes_nothing(spark, tmp_path):
+    index = snapshots.SnapshotIndex(spark, f"file://{tmp_path}/ix", ["k"], ["v"], buckets=4)
+    make = lambda rows: spark.createDataFrame(rows, "k string, v string")
+    index.advance(make([("a", "1"), ("b", "1")]))
+
+    class Dead(Exception):
+        pass
+
+    def die(version):
+        raise Dead
+
+    index._commit = die
+    try:
+        index.advance(make([("a", "2")]))
+    except Dead:
+        pass
+    again = snapshots.SnapshotIndex(spark, f"file://{tmp_path}/ix", ["k"], ["v"], buckets=4)
+    assert again.version() == 0
+    assert {(r.k, r.change) for r in again.advance(make([("a", "2")])).collect()} == {("a", "changed"), ("b", "removed")}
+    assert again.version() == 1
+    again.advance(make([("a", "2")]))
+    assert sorted(p.name for p in (tmp_path / "ix").iterdir() if p.name.startswith("v")) == ["v2"]
+
+
+def test_probing_the_index_shuffles_nothing(spark, tmp_path):
+    rows = spark.range(1000).select(F.lit("g").alias("grp"), F.col("id").cast("string").alias("key"), snapshots.value_hash(F.col("id")).alias("hash"))
+    one, two = (snapshots.bucketed(rows.repartition(8, "grp", "key"), f"file://{tmp_path}/{x}", ["grp", "key"], 8) for x in "ab")
+    present = F.broadcast(spark.createDataFrame([("g", False)], "grp string, is_first boolean"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = snapshots.advance_index(one, two, present)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_hash_tells_nulls_from_neighbours(spark):
     df = spark.createDataFrame([(None, "a"), ("a", None), ("", "a"), ("a", "")], "x string, y string")
     assert df.select(snapshots.value_hash(F.col("x"), F.col("y")).alias("h")).distinct().count() == 4
