@@ -61,11 +61,56 @@ def test_leaks_match_brute_force(spark):
     frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id bigint, text string, suite string")
     got = [tuple(r) for r in leakage.leaked_items(docs(spark, texts), frame).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
-    small = [tuple(r) for block in [leakage.item_blocks(frame, block_bytes=200)] for x in block for r in [(len(x.item_ids),)]]
-    assert sum(n for (n,) in small) == 25 and len(small) > 3
+    sizes = [len(x.item_ids) for x in leakage.item_blocks(leakage.item_texts(frame)[0], block_bytes=200)]
+    assert sum(sizes) == 25 and len(sizes) > 3
     assert leakage.leaked_items(docs(spark, texts), frame.limit(0)).count() == 0 and leakage.leaked_items(docs(spark, texts).limit(0), frame).count() == 0
 
 
+def test_blocks_equal_items_and_hot_stretches_lose_nothing(spark, monkeypatch):
+    rnd = random.Random(17)
+    words = ["a", "of", "vault", "owner", "transferred"]
+    items = [" ".join(rnd.choice(words) for _ in range(rnd.randint(12, 40))) for _ in range(40)]
+    items += [i.upper() for i in items[:10]]
+    texts = [" ".join(rnd.choice(words) for _ in range(30)) + " " + rnd.choice(items) + " x " + rnd.choice(items) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    whole = {tuple(r) for r in leakage.leaked_items(docs(spark, texts), frame).collect()}
+    runs = lambda t: {tuple(w[i : i + 12]) for w in [t.lower().split()] for i in range(len(w) - 11)}
+    assert whole == {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if runs(t) & runs(x)}
+    monkeypatch.setattr(leakage, "item_blocks", lambda texts, blocks=leakage.item_blocks: blocks(texts, 500))
+    assert {tuple(r) for r in leakage.leaked_items(docs(spark, texts), frame).collect()} == whole
+    index = leakage.QGramIndex(list(range(len(items))), [i.lower() for i in items])
+    import pyarrow as pa
+
+    body, offsets = leakage.text_buffer(pa.array([f" {t.lower()} \0" for t in texts]))
+    found = [x.tolist() for x in leakage.matches(index, body, offsets, 12)]
+    monkeypatch.setattr(leakage, "HITS", 50)
+    assert [x.tolist() for x in leakage.matches(index, body, offsets, 12)] == found and set(zip(*found)) == whole
+
+
+def test_passages_of_documents_match_brute_force(spark):
+    rnd = random.Random(19)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 9)))
+    items = [" ".join(word() for _ in range(20)) for _ in range(5)]
+    texts = []
+    for _ in range(30):
+        part = list(rnd.choice(items)[:110])
+        for _ in range(rnd.randint(0, 5)):
+            part[rnd.randrange(len(part))] = rnd.choice("xyz")
+        texts.append(" ".join([" ".join(word() for _ in range(rnd.randint(0, 40))), "".join(part), " ".join(word() for _ in range(rnd.randint(0, 40)))]).strip())
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = leakage.leaked_passages(docs(spark, texts), frame, 52, 2).collect()
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            padded = f" {item} "
+            if any(edits_within(padded[s : s + 52], f" {t} ") <= 2 for s in range(len(padded) - 51) if padded[s] == " "):
+                want.add((d, i))
+    assert {(r.doc_id, r.item_id) for r in rows} == want and want
+    for r in rows:
+        near = f" {texts[r.doc_id]} "[r.doc_at : r.doc_at + 52 + 8]
+        assert edits_within(f" {items[r.item_id]} "[r.item_at : r.item_at + 52], near) == r.edits <= 2
+
+
 def test_items_quoted_in_a_numbered_list_are_all_found(spark):
     items = [" ".join(f"{w}{i}" for w in "who may call the withdraw function of this vault after each deposit".split()) for i in range(4)]
     texts = [" ".join(f"{n} {t}" for n, t in enumerate(items, 1)), " 7 ".join(items[1:3])]
