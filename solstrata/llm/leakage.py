@@ -129,15 +129,17 @@ class QGramIndex:
             begin = end
 
 
-def bands(index: QGramIndex, offsets: np.ndarray, pos: np.ndarray, place: np.ndarray, edits: int, need: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def bands(index: QGramIndex, offsets: np.ndarray, origin: np.ndarray, pos: np.ndarray, place: np.ndarray, edits: int, need: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(document number, item number, lowest diagonal, places) of the overlapping bands in which at least `need` different q-grams are hit.
 
     A band has 2 * (edits + 1) diagonals, and every diagonal lies in two of them, so edits + 1 neighbouring ones are always in one.
+    Bands are cut by places in the document and in the item, whatever they are joined with; origin is where each text begins in its document.
     """
     step = edits + 1
     doc = np.searchsorted(offsets, pos, "right") - 1
     item = np.searchsorted(index.starts, place, "right") - 1
-    low = (pos - place) // step
+    shift = offsets[:-1] - origin
+    low = (pos - shift[doc] - (place - index.starts[item])) // step
     band, doc, item, place = (np.concatenate(x) for x in ((low, low - 1), (doc, doc), (item, item), (place, place)))
     order = np.lexsort((place, band, item, doc))
     band, doc, item, place = band[order], doc[order], item[order], place[order]
@@ -149,7 +151,7 @@ def bands(index: QGramIndex, offsets: np.ndarray, pos: np.ndarray, place: np.nda
     for g0, g1 in zip(begin[enough].tolist(), end[enough].tolist()):
         where = np.unique(place[g0:g1])
         if len(where) >= need:
-            yield int(doc[g0]), int(item[g0]), int(band[g0]) * step, where
+            yield int(doc[g0]), int(item[g0]), int(band[g0]) * step + int(shift[doc[g0]]) - int(index.starts[item[g0]]), where
 
 
 def least_edits(passages: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -185,11 +187,11 @@ def dense(known: np.ndarray, width: int, edits: int) -> np.ndarray:
     return np.cumsum(near[:-1]) > 0
 
 
-def regions(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, width: int, edits: int) -> list[tuple[int, int, int, int, int]]:
+def regions(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, width: int, edits: int, origin: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document number, item number, place in item, place in document, edits): passages of `width` bytes, from the blank before
     a word, that occur with at most `edits` edits.
 
-    Of neighbouring passages of one item and band the one with the fewest edits is kept, the first of several.
+    Of neighbouring passages of one item and band the one with the fewest edits is kept, the first in item and document of several.
     """
     hashes = q_gram_hashes(body)
     known = index.known(hashes) & whole_q_grams(body, len(hashes))
@@ -198,16 +200,16 @@ def regions(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, width: int
     found: dict[tuple[int, int, int], tuple[int, int, int, int, int]] = {}
     # no passage spans a gap in the hits that is longer than a passage, so stretches between gaps are looked at in turn
     for pos, place in index.hits(at, hashes, np.flatnonzero(np.diff(at) > reach + Q) + 1):
-        _stretch(index, body, offsets, pos, place, width, edits, need, found)
+        _stretch(index, body, offsets, np.zeros(len(offsets) - 1, np.int64) if origin is None else origin, pos, place, width, edits, need, found)
     return sorted(found.values())
 
 
-def _stretch(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, pos: np.ndarray, place: np.ndarray, width: int, edits: int, need: int, found: dict) -> None:
+def _stretch(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, origin: np.ndarray, pos: np.ndarray, place: np.ndarray, width: int, edits: int, need: int, found: dict) -> None:
     """Add to found the passages among the hits."""
     step = edits + 1
     todo = []
     ends = np.append(index.starts[1:], len(index.body)) if len(index.starts) else index.starts
-    for d, it, lowest, where in bands(index, offsets, pos, place, edits, need):
+    for d, it, lowest, where in bands(index, offsets, origin, pos, place, edits, need):
         i0, i1 = int(index.starts[it]), int(ends[it]) - 1
         starts = np.arange(max(i0, int(where[0]) + Q - width), min(int(where[-1]), i1 - width) + 1)
         starts = starts[index.body[starts] == 32]
@@ -227,7 +229,7 @@ def _stretch(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, pos: np.n
             at_item = int(s[k] - index.starts[it[k]])
             row = (int(d[k]), int(it[k]), at_item, int(max(begin[k], offsets[d[k]]) - offsets[d[k]]), int(cost[k]))
             key = (row[0], row[1], at_item // width)
-            if key not in found or row[4] < found[key][4]:
+            if key not in found or (row[4], row[2], row[3]) < (found[key][4], *found[key][2:4]):
                 found[key] = row
 
 
@@ -273,7 +275,7 @@ def matches(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, min_words:
     found: set[tuple[int, int]] = set()
     ends = np.append(index.starts[1:], len(index.body)) if len(index.starts) else index.starts
     for pos, place in index.hits(at, hashes, np.cumsum(n)[:-1]):
-        for d, it, lowest, _ in bands(index, offsets, pos, place, 0, max(1, min_words - Q // 2)):
+        for d, it, lowest, _ in bands(index, offsets, np.zeros(len(offsets) - 1, np.int64), pos, place, 0, max(1, min_words - Q // 2)):
             for diagonal in (lowest, lowest + 1):
                 if (d, it) not in found:
                     a0, a1 = max(int(offsets[d]), int(index.starts[it]) + diagonal), min(int(offsets[d + 1]), int(ends[it]) + diagonal)
@@ -406,7 +408,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, width: int = 80, edits: i
         return begin, end
 
     def find(index: QGramIndex, ids: pa.Array, places: np.ndarray, body: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        rows = np.array(regions(index, body, offsets, width, edits), np.int64).reshape(-1, 5)
+        rows = np.array(regions(index, body, offsets, width, edits, places), np.int64).reshape(-1, 5)
         at = rows[:, 3] + places[rows[:, 0]]
         columns = [ids.take(pa.array(rows[:, 0])), pa.array(index.item_ids[rows[:, 1]]), *[pa.array(x.astype(np.int32)) for x in (rows[:, 2], at, rows[:, 4])]]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "rep", "item_at", "doc_at", "edits"])
