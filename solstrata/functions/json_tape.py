@@ -10,6 +10,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from solstrata.functions.arrow_batches import text_buffer
 
@@ -52,7 +53,7 @@ class JsonTape:
         kind = _KIND[body]
         inside = np.logical_xor.accumulate(quote) if n else quote
         kind[inside] = 0
-        tape = np.flatnonzero(kind)
+        self.tape = tape = np.flatnonzero(kind)
         kind = kind[tape]
         is_open, is_close = kind == _OPEN, kind == _CLOSE
         depth = np.cumsum(is_open.astype(np.int64) - is_close)
@@ -142,28 +143,60 @@ class JsonTape:
         commas = np.searchsorted(self._comma_key, key + self._span) - np.searchsorted(self._comma_key, key)
         return np.where(filled, commas + 1, 0)
 
-    def scalar_texts(self, colons: np.ndarray) -> list[str | None]:
-        """Scalar values after the given colons as text; strings without their quotes, None for null and nested ones."""
-        out: list[str | None] = []
-        data = self.body.tobytes()
-        for pos in self.colon_pos[colons].tolist():
-            i = pos + 1
-            while data[i] in b" \t\r\n":
-                i += 1
-            head = data[i]
-            if head in b"{[":
-                out.append(None)
-            elif head == 34:
-                k = int(np.searchsorted(self.quotes, i))
-                raw = data[i : int(self.quotes[k + 1]) + 1]
-                out.append(json.loads(raw))
-            else:
-                j = i
-                while data[j] not in b",}] \t\r\n":
-                    j += 1
-                raw = data[i:j].decode()
-                out.append(None if raw == "null" else raw)
-        return out
+    def scalars(self, colons: np.ndarray) -> pa.LargeStringArray:
+        """Scalar values after the given colons as text; strings without their quotes, null for null and nested ones.
+
+        The values are cut out of the buffer together; only strings with escapes are decoded one by one.
+        """
+        if not len(colons):
+            return pa.array([], pa.large_string())
+        solid = np.flatnonzero(~_BLANK[self.body])
+        start = solid[np.searchsorted(solid, self.colon_pos[colons] + 1)]
+        head = self.body[start]
+        quoted, nested = head == ord('"'), (head == ord("{")) | (head == ord("["))
+        stop = self.tape[np.minimum(np.searchsorted(self.tape, start), len(self.tape) - 1)]
+        end = solid[np.searchsorted(solid, stop) - 1] + 1  # without the blanks before what follows
+        k = np.searchsorted(self.quotes, start[quoted])
+        start, end = start.copy(), end.copy()
+        start[quoted] += 1
+        end[quoted] = self.quotes[k + 1]
+        end[nested] = start[nested]
+        size = end - start
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        data = self.body[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+        null = nested | (~quoted & (head == ord("n")))
+        valid = pa.array(~null)
+        texts = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)), valid.buffers()[1])
+        slashes = np.flatnonzero(self.body == ord("\\"))
+        escaped = np.flatnonzero(quoted & (np.searchsorted(slashes, start) < np.searchsorted(slashes, end)))
+        if len(escaped):
+            plain = [json.loads(b'"' + self.body[start[i] : end[i]].tobytes() + b'"') for i in escaped.tolist()]
+            mask = np.zeros(len(size), bool)
+            mask[escaped] = True
+            texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([p.encode("utf-8", "replace").decode() for p in plain], pa.large_string()))
+        return texts
+
+    def enclosing(self, chosen: np.ndarray) -> np.ndarray:
+        """For each opener the nearest opener around it that is chosen, -1 if there is none.
+
+        Openers are the children lists of their containers: list offsets count them, the parent-index kernel names their parents,
+        and what is known of the parents is taken for the children, level after level.
+        """
+        n = len(self.open_pos)
+        held = np.flatnonzero(self.container >= 0)
+        order = held[np.argsort(self.container[held], kind="stable")]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(self.container[held], minlength=n))]).astype(np.int64)
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(order, pa.int64()))
+        parent = pc.list_parent_indices(lists).to_numpy()
+        nearest = np.full(n, -1, np.int64)
+        level = np.flatnonzero(self.container < 0)
+        begin, size = offsets[:-1], np.diff(offsets)
+        while len(level):
+            kids = size[level]
+            at = np.repeat(begin[level] - (np.cumsum(kids) - kids), kids) + np.arange(kids.sum())
+            up, level = parent[at], order[at]
+            nearest[level] = np.where(chosen[up], up, nearest[up])
+        return nearest
 
 
 def sound_rows(texts: pa.Array) -> np.ndarray:

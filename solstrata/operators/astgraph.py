@@ -35,7 +35,7 @@ EXTERNAL_MEMBERS = ("call", "send", "transfer", "delegatecall", "staticcall")
 def _attribute(tape: JsonTape, key: str) -> np.ndarray:
     out = np.full(len(tape.open_pos), None, dtype=object)
     colons = tape.colons_named(key)
-    out[tape.colon_container[colons]] = tape.scalar_texts(colons)
+    out[tape.colon_container[colons]] = tape.scalars(colons).to_pylist()
     return out
 
 

@@ -2,8 +2,9 @@
 
 Records arrive as JSON text. On the JVM side unreadable texts are dropped and repeated deliveries reduced to
 one; the rest is flattened from Arrow buffers: list offsets say how many children a parent has, the
-parent-index kernel says whose child an element is, and keys travel down by vectorised take. No row is parsed in
-Python.
+parent-index kernel says whose child an element is, and keys travel down by vectorised take: through the lists of a log level by
+level, and through the objects of a syntax tree, whatever they are nested in, likewise. No text is parsed row by row; only
+strings with escapes are decoded one at a time.
 
 Defined results: null, blank or unreadable texts give no rows; a null or absent list has no elements; a null element
 counts as an element of its list but has no children; a record without id is kept, each delivery by itself.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from solstrata.functions.arrow_batches import byte_slices
 from solstrata.functions.json_tape import JsonTape, sound_tape
+from solstrata.operators.snapshots import small_side
+from solstrata.session import materialize
 
 EDGE_SCHEMA = "record_id bigint, child string, parent string"
 #: The list paths of a log: a name per level below the root.
@@ -34,20 +37,33 @@ LOG_PATHS = (
 )
 
 
+#: Records above which the winning deliveries are joined by shuffle instead of being sent to every executor (24 bytes each).
+WINNERS = 2_000_000
+
+
 def latest_readable(df: DataFrame, record_id: str, text: str, order: Sequence[str]) -> DataFrame:
-    """One readable text per record: the delivery that is last by `order` (nulls first).
+    """(record_id, text): one readable text per record, the delivery that is last by `order` (nulls first).
 
-    The reduction is a partial aggregate, so a record delivered very often is reduced before the shuffle.
-    Rows with a null id are kept one by one.
+    The winners are found on ids and order alone, by a partial aggregate; texts meet them in a semi join and are not shuffled, but
+    for records whose last delivery is there several times, which are reduced. Rows with a null id are kept one by one.
     """
-    order_key = F.struct(*[F.col(c) for c in order])
-    alone = F.when(F.col(record_id).isNull(), F.col(order[-1]))
-    return (
-        df.where(F.expr(f"json_object_keys(`{text}`) is not null"))
-        .groupBy(F.col(record_id).alias("record_id"), alone.alias("_alone"))
-        .agg(F.max_by(F.col(text), order_key).alias("text"))
-        .select("record_id", "text")
-    )
+    on = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    keys = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(F.col(record_id).alias("record_id"), *on, F.col(text).alias("text"))
+    readable = rows.where("json_object_keys(text) is not null")
+    alone = readable.where("record_id is null")
+    named = readable.where("record_id is not null")
+    last = named.groupBy("record_id", *keys).agg(F.count("*").alias("n")).groupBy("record_id").agg(F.max(F.struct(*keys, "n")).alias("w"))
+    last = materialize(last.select(F.col("record_id").alias("w_id"), *[F.col("w")[k].alias(f"w{k}") for k in keys], F.col("w.n").alias("n")), "last-deliveries")
+    same = F.col("record_id") == F.col("w_id")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"w{k}"))
+    one = named.join(small_side(last.where("n = 1"), WINNERS), same, "left_semi").select("record_id", "text")
+    out = one.unionByName(alone.groupBy(keys[-1]).agg(F.max_by("text", F.struct(*keys)).alias("text")).select(F.lit(None).cast(df.schema[record_id].dataType).alias("record_id"), "text"))
+    if last.where("n > 1").limit(1).count():
+        several = named.join(small_side(last.where("n > 1"), WINNERS), same, "left_semi")
+        out = out.unionByName(several.groupBy("record_id").agg(F.max("text").alias("text")))
+    return out
 
 
 def _elements(tape: JsonTape, lists: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -114,35 +130,37 @@ def flatten_lists(records: DataFrame, paths: Sequence[Sequence[str]] = LOG_PATHS
     return records.select("record_id", "text").mapInArrow(run, EDGE_SCHEMA)
 
 
-def _flatten_nodes(batch: pa.RecordBatch, tape: JsonTape, type_key: str, id_key: str, root_type: str) -> pa.RecordBatch:
-    id_of = np.full(len(tape.open_pos), -1, np.int64)
-    ids = tape.colons_named(id_key)
-    types = tape.colons_named(type_key)
-    id_text = np.array(tape.scalar_texts(ids), dtype=object)
-    has = np.array([x is not None for x in id_text], bool) if len(ids) else np.zeros(0, bool)
-    id_of[tape.colon_container[ids[has]]] = np.flatnonzero(has)
-    type_text = np.array(tape.scalar_texts(types), dtype=object)
-    typed = np.zeros(len(tape.open_pos), bool)
-    is_root = np.zeros(len(tape.open_pos), bool)
-    for colon, value in zip(types.tolist(), type_text.tolist()):
-        typed[tape.colon_container[colon]] = value is not None
-        is_root[tape.colon_container[colon]] = value == root_type
-    node = typed & (id_of >= 0)
-    above = tape.container.copy()
-    open_search = np.flatnonzero(above >= 0)
-    open_search = open_search[~node[above[open_search]]]
-    while len(open_search):
-        above[open_search] = tape.container[above[open_search]]
-        open_search = open_search[above[open_search] >= 0]
-        open_search = open_search[~node[above[open_search]]]
+def _flatten_nodes(batch: pa.RecordBatch, tape: JsonTape, type_key: str, id_key: str, root_type: str, columns: Sequence[str] = ()) -> pa.RecordBatch:
+    n = len(tape.open_pos)
+
+    def held(key: str) -> tuple[np.ndarray, pa.LargeStringArray]:
+        """For each opener the number of its value of a key, -1 for none, and the values."""
+        colons = tape.colons_named(key)
+        values = tape.scalars(colons)
+        there = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+        of = np.full(n, -1, np.int64)
+        of[tape.colon_container[colons[there]]] = there
+        return of, values
+
+    def take(of: np.ndarray, values: pa.LargeStringArray) -> pa.Array:
+        return values.take(pa.array(np.where(of >= 0, of, 0), mask=of < 0)) if len(values) else pa.nulls(len(of), pa.large_string())
+
+    id_of, ids = held(id_key)
+    type_of, types = held(type_key)
+    node = (type_of >= 0) & (id_of >= 0)
+    is_root = np.zeros(n, bool)
+    typed = np.flatnonzero(type_of >= 0)
+    if len(typed):
+        is_root[typed] = pc.equal(types, root_type).fill_null(False).to_numpy(zero_copy_only=False)[type_of[typed]]
+    above = tape.enclosing(node)
     out = np.flatnonzero(node & ~is_root)
     up = above[out]
-    text = np.concatenate([id_text, [""]]) if len(id_text) else np.array([""], dtype=object)
-    child = text[id_of[out]]
-    parent = text[np.where(up >= 0, id_of[up], -1)]
-    return pa.RecordBatch.from_arrays(
-        [batch.column("record_id").take(pa.array(tape.open_doc[out])), pa.array(child, pa.string()), pa.array(parent, pa.string())], ["record_id", "child", "parent"]
-    )
+    parent = take(np.where(up >= 0, id_of[up], -1), ids).fill_null("")
+    arrays = [batch.column("record_id").take(pa.array(tape.open_doc[out])), take(id_of[out], ids).cast(pa.string()), parent.cast(pa.string())]
+    for key in columns:
+        of, values = held(key)
+        arrays.append(take(of[out], values).cast(pa.string()))
+    return pa.RecordBatch.from_arrays(arrays, ["record_id", "child", "parent", *[f"v{i}" for i in range(len(columns))]])
 
 
 def flatten_nodes(records: DataFrame, type_key: str = "nodeType", id_key: str = "id", root_type: str = "SourceUnit") -> DataFrame:
@@ -162,6 +180,20 @@ def flatten_nodes(records: DataFrame, type_key: str = "nodeType", id_key: str =
     return records.select("record_id", "text").mapInArrow(run, EDGE_SCHEMA)
 
 
+def node_table(records: DataFrame, columns: Sequence[str] = ("nodeType", "name", "src"), type_key: str = "nodeType", id_key: str = "id", root_type: str = "SourceUnit") -> DataFrame:
+    """The related table of syntax nodes: a row per edge of `flatten_nodes` with record_id, row_key, parent_key and scalar fields of the node as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                part, tape = sound_tape(part, "text")
+                if tape is not None:
+                    yield _flatten_nodes(part, tape, type_key, id_key, root_type, columns)
+
+    flat = records.select("record_id", "text").mapInArrow(run, EDGE_SCHEMA + "".join(f", v{i} string" for i in range(len(columns))))
+    return flat.select("record_id", F.col("child").alias("row_key"), F.col("parent").alias("parent_key"), *[F.col(f"v{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def record_edges(logs: DataFrame, units: DataFrame) -> DataFrame:
     """(record_kind, record_id, child, parent) of all logs and syntax trees; repeated deliveries count once."""
     sarif = flatten_lists(latest_readable(logs, "log_id", "payload", ["received_at", "delivery_id"]))
@@ -179,6 +211,8 @@ LOG_TABLES: dict[tuple[str, ...], Sequence[tuple[str, str]]] = {
         ("uri", "$.physicalLocation.artifactLocation.uri"),
         ("start_line", "$.physicalLocation.region.startLine"),
     ),
+    ("runs", "results", "codeFlows"): (("message", "$.message.text"),),
+    ("runs", "results", "codeFlows", "threadFlows"): (("flow_id", "$.id"), ("message", "$.message.text")),
     ("runs", "results", "codeFlows", "threadFlows", "locations"): (
         ("uri", "$.location.physicalLocation.artifactLocation.uri"),
         ("start_line", "$.location.physicalLocation.region.startLine"),
