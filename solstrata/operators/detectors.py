@@ -77,12 +77,18 @@ def _finding(df: DataFrame, line: Column | str, rule: str, detector: str, severi
                      title.alias("title"), F.trim(F.regexp_replace(snippet, r"\s+", " ")).alias("snippet"), F.col("contract"), F.col("name").alias("function"))
 
 
-def _code_lines(blocks: DataFrame) -> DataFrame:
-    """A row per line of the code of each block, with its number `at`, the lines before (up to 8) and after (up to 10)."""
-    parts = blocks.withColumn("parts", F.split("code", "\n", -1))
-    out = parts.select("*", F.posexplode("parts").alias("k", "text")).withColumn("at", F.col("body_line") + F.col("k"))
-    before = F.array_join(F.expr("slice(parts, greatest(k - 7, 1), least(k, 8))"), "\n")
-    return out.withColumn("before", before).withColumn("after", F.array_join(F.expr("slice(parts, k + 2, 10)"), "\n"))
+def _code_lines(blocks: DataFrame, before: int = 8, after: int = 10) -> DataFrame:
+    """A row per line of the code of each block, with its number `at`, the lines `before` and `after` it, joined by line ends.
+
+    The windows are cut before the lines are spread, and no row carries the whole code.
+    """
+    parts = F.split("code", "\n", -1)
+    wide = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(
+        F.element_at("parts", i).alias("text"), F.array_join(F.slice("parts", F.greatest(i - before, F.lit(1)), F.least(i - 1, F.lit(before))), "\n").alias("before"),
+        F.array_join(F.slice("parts", i + 1, F.lit(after)), "\n").alias("after")))
+    rows = blocks.withColumn("parts", parts).withColumn("wide", F.explode(F.arrays_zip(wide.alias("x"), F.sequence(F.lit(0), F.size("parts") - 1).alias("k"))))
+    kept = [c for c in blocks.columns if c not in ("code", "body")]
+    return rows.select(*kept, F.col("wide.k").alias("k"), F.col("wide.x.text").alias("text"), F.col("wide.x.before").alias("before"), F.col("wide.x.after").alias("after"), (F.col("body_line") + F.col("wide.k")).alias("at"))
 
 
 def _title(what: str) -> Column:
@@ -124,12 +130,12 @@ def tx_origin(c: Corpus) -> DataFrame:
 
 
 def delegatecall(c: Corpus) -> DataFrame:
-    rows = _code_lines(c.callables.where(F.contains("code", F.lit("delegatecall")))).where(rx("text", r"\.\s*delegatecall\s*\("))
     guarded = rx(_whole(), *ACCESS_GUARDS) | (F.col("name").eqNullSafe("initialize") & rx(_whole(), *INIT_GUARDS))
+    rows = _code_lines(c.callables.where(F.contains("code", F.lit("delegatecall"))).withColumn("guarded", guarded)).where(rx("text", r"\.\s*delegatecall\s*\("))
     target = F.regexp_extract("text", r"(\w+)\s*\.\s*delegatecall\s*\(", 1)
     proxy = (F.col("kind") == "fallback") & rx("text", r"delegatecall\s*\(\s*msg\.data")
     chosen = F.exists("params", lambda p: p["name"] == F.col("target")) & (F.col("target") != "")
-    rows = rows.withColumn("guarded", guarded).withColumn("target", target).withColumn("proxy", proxy).withColumn("chosen", chosen)
+    rows = rows.withColumn("target", target).withColumn("proxy", proxy).withColumn("chosen", chosen)
     opened = ~F.col("guarded") & ~F.col("visibility").isin("internal", "private") & ~F.col("proxy")
     return (
         _finding(rows.where("proxy"), "at", "CALL-005", "delegatecall", "high", "medium", _title("Delegatecall in a fallback"), F.col("text"))
@@ -151,7 +157,7 @@ def unchecked_call(c: Corpus) -> DataFrame:
     call = r"\.\s*(?:call|send|delegatecall|staticcall)\s*[\({]"
     rows = _code_lines(c.callables.where(rx("code", call))).where(rx("text", call))
     inline = rx("text", r"\b(require|assert|if|while)\s*\(.*" + call, r"^\s*return\b", r"&&|\|\|")
-    joined = F.concat_ws(" ", F.array_join(F.expr("slice(parts, greatest(k - 2, 1), least(k, 3))"), " "), "text")
+    joined = F.concat_ws(" ", F.replace(F.substring_index("before", "\n", -3), F.lit("\n"), F.lit(" ")), "text")
     variable = F.regexp_extract(joined, r"\bbool\s+(\w+)\b[^;]*" + call + r"[^;]*;?\s*$", 1)
     variable = F.when(variable != "", variable).otherwise(F.regexp_extract("text", r"\(?\s*(\w+)\s*,?[^=]*\)?\s*=[^=].*" + call, 1))
     v = F.concat(F.lit(r"\b"), F.col("variable"), F.lit(r"\b"))
@@ -262,19 +268,20 @@ def oracle_manipulation(c: Corpus) -> DataFrame:
 def dangerous_approve(c: Corpus) -> DataFrame:
     """A spender the caller chooses is critical, an unlimited amount high; else the deprecated form and the race are told."""
     call = r"\b(?:safeA|a)pprove\s*\("
-    rows = _code_lines(c.functions.where(_is_open() & rx("code", call))).where(rx("text", r"\.\s*" + call))
+    zero = r"\.\s*(?:safeA|a)pprove\s*\(\s*\w+\s*,\s*0\s*\)"
+    marked = c.functions.where(_is_open() & rx("code", call)).withColumn("opened", ~rx(_whole(), *ACCESS_GUARDS)).withColumn("zeroed", rx("code", zero))
+    rows = _code_lines(marked).where(rx("text", r"\.\s*" + call))
     addresses = F.transform(F.filter("params", lambda p: p["type"] == "address"), lambda p: p["name"])
     spender = F.regexp_extract("text", r"\b(?:safeA|a)pprove\s*\(\s*(?:address\s*\(\s*)?(\w+)", 1)
-    open_ = ~rx(_whole(), *ACCESS_GUARDS)
+    open_ = F.col("opened")
     chosen = F.array_contains(addresses, spender) & open_ & rx("text", r"\.\s*approve\s*\(")
     level = F.when(chosen, "critical").when(rx("text", *UNLIMITED) & open_, "high")
     rows = rows.withColumn("level", level)
     hard = _finding(rows.where("level is not null"), "at", "DEFI-006", "dangerous-approve", F.col("level"), "high", _title("Dangerous approval"), F.col("text"))
     soft = rows.where("level is null")
     dep = _finding(soft.where(rx("text", r"\.\s*safeApprove\s*\(")), "at", "DEFI-006", "dangerous-approve", "medium", "high", _title("Deprecated safeApprove"), F.col("text"))
-    zero = r"\.\s*(?:safeA|a)pprove\s*\(\s*\w+\s*,\s*0\s*\)"
     fixed = rx("text", r"approve\s*\(\s*(?:address\s*\(\s*(?:this|0)\s*\)|[A-Z][A-Za-z_0-9]+\s*[,)])")
-    race = soft.where(rx("text", r"\.\s*approve\s*\(") & ~rx("code", zero) & ~fixed)
+    race = soft.where(rx("text", r"\.\s*approve\s*\(") & ~F.col("zeroed") & ~fixed)
     return hard.unionByName(dep).unionByName(_finding(race, "at", "DEFI-006", "dangerous-approve", "low", "high", _title("Approval can be raced"), F.col("text")))
 
 
@@ -290,16 +297,14 @@ def storage_gap_missing(c: Corpus) -> DataFrame:
 
 def override_removes_restriction(c: Corpus) -> DataFrame:
     """Overrides without a restriction that the nearest ancestor's function of that name and parameter count has."""
-    from solstrata.operators.inheritance import ancestors, inherits
-
-    up = ancestors(inherits(c.blocks))
     guard = rx(_head(8), *ACCESS_GUARDS) | rx(F.array_join("modifiers", " "), r"\b(only\w*|auth|restricted|requiresAuth|protected|ifAdmin)\b")
     f = c.functions.withColumn("guarded", guard).withColumn("n_params", F.size("params"))
     child = f.where(F.col("is_override") & F.col("has_body") & ~F.col("guarded") & _writes())
     parent = f.select(F.col("path").alias("parent_path"), F.col("contract").alias("ancestor"), "name", "n_params", F.col("guarded").alias("parent_guarded"))
-    near = child.join(up.select("path", F.col("child").alias("contract"), "ancestor", "depth"), ["path", "contract"]).join(parent, ["ancestor", "name", "n_params"])
-    near = near.groupBy(*[x for x in child.columns]).agg(F.max_by("parent_guarded", F.struct(-F.col("depth"), "ancestor")).alias("was"))
-    return _finding(near.where("was"), "start_line", "INIT-005", "override-removes-restriction", F.when(rx("code", STATE_WRITE), "critical").otherwise("high"), "high", _title("Override drops a restriction"), F.col("signature"))
+    key = ["path", "contract", "name", "n_params", "start_line"]
+    near = child.select(*key).join(c.lineage.select("path", "contract", F.col("ancestor_path").alias("parent_path"), "ancestor", "depth"), ["path", "contract"]).join(parent, ["parent_path", "ancestor", "name", "n_params"])
+    near = near.groupBy(*key).agg(F.max_by("parent_guarded", F.struct(-F.col("depth"), "ancestor")).alias("was")).where("was")
+    return _finding(child.join(near, key, "left_semi"), "start_line", "INIT-005", "override-removes-restriction", F.when(rx("code", STATE_WRITE), "critical").otherwise("high"), "high", _title("Override drops a restriction"), F.col("signature"))
 
 
 def reentrancy(c: Corpus) -> DataFrame:
@@ -307,8 +312,8 @@ def reentrancy(c: Corpus) -> DataFrame:
     from solstrata.operators.state_ops import cei_violations, helper_calls, state_ops
 
     rows = c.functions.where(F.col("has_body") & ~F.col("visibility").isin("internal", "private") & ~F.col("name").startswith("_") & _writes() & ~rx("signature", *REENTRANCY_GUARDS) & ~rx("code", r"(?m)^\s*_?(locked|mutex|entered|_status)\s*=[^=]"))
-    ops = state_ops(rows, c.blocks, c.variables)
-    helped = helper_calls(rows, c.functions)
+    ops = state_ops(rows, c.blocks, c.variables, c.lineage)
+    helped = helper_calls(rows, c.functions, c.lineage)
     bad = cei_violations(ops.unionByName(helped))
     first = bad.groupBy("path", "contract", "function", "start_line").agg(F.min(F.struct("call_line", "write_line", "call_text", "variable")).alias("v"))
     by_helper = helped.select("path", "contract", "function", F.col("line").alias("call_line")).distinct().withColumn("helper", F.lit(True))

@@ -39,7 +39,7 @@ def call_edges(c: Corpus) -> tuple[DataFrame, DataFrame]:
     return edges, low
 
 
-def findings(c: Corpus, max_depth: int = 8) -> DataFrame:
+def findings(c: Corpus, max_depth: int | None = None) -> DataFrame:
     """Cycles between contracts, unprotected calls that write state elsewhere, prices from other contracts, and flows over a boundary."""
     n = materialize(nodes(c).withColumn("f", F.concat_ws(".", "contract", "function")), "x-nodes")
     edges, _ = call_edges(c)

@@ -110,7 +110,7 @@ def imports(files: DataFrame) -> DataFrame:
 
 
 def resolve_imports(files: DataFrame, roots: tuple[str, ...] = ("", "node_modules/", "lib/", "packages/")) -> DataFrame:
-    """(path, target, resolved): the file an import means: relative to the importer first, then below each root."""
+    """(path, target, resolved): the file an import means: relative to the importer first, then below each root, then below each root of its repository."""
     found = imports(files)
     folder = F.regexp_replace("path", r"[^/]*$", "")
     joined = F.when(F.col("target").startswith("."), F.concat(folder, "target"))
@@ -118,7 +118,9 @@ def resolve_imports(files: DataFrame, roots: tuple[str, ...] = ("", "node_module
         F.split(F.col("candidate"), "/"), F.array().cast("array<string>"),
         lambda acc, x: F.when((x == ".") | (x == ""), acc).when((x == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
     )
-    options = F.array(joined, *[F.when(~F.col("target").startswith("."), F.concat(F.lit(r), F.col("target"))) for r in roots])
+    repo = F.regexp_extract("path", r"^([^/]+/[^/]+/)[^/]", 1)
+    below = [*[F.lit(r) for r in roots], *[F.when(repo != "", F.concat(repo, F.lit(r))) for r in roots]]
+    options = F.array(joined, *[F.when(~F.col("target").startswith("."), F.concat(r, F.col("target"))) for r in below])
     tried = found.select("path", "target", F.posexplode(options).alias("priority", "candidate")).where("candidate is not null")
     tried = tried.withColumn("candidate", F.array_join(parts, "/"))
     known = files.select(F.regexp_replace("path", r"^(\./|/)+", "").alias("candidate"), F.col("path").alias("resolved")).distinct()
@@ -152,6 +154,12 @@ class Corpus:
     def contracts(self) -> DataFrame:
         return self.blocks.where(F.col("kind").isin("contract", "interface", "library"))
 
+    @functools.cached_property
+    def lineage(self) -> DataFrame:
+        from solstrata.operators.inheritance import lineage
+
+        return self.keep(lineage(self.blocks, resolve_imports(self.files)), "lineage")
+
     @functools.cached_property
     def lines(self) -> DataFrame:
         return lines(self.files)

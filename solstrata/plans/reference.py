@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from solstrata.functions.globs import glob_regex
-from solstrata.operators import astgraph, bytecode, closure, detectors, drift, findings, formal, guards, inheritance, intercontract, nested, rules, state_ops, statistics, structure, taint
-from solstrata.plans.samples import SAMPLES, sample_files
+from solstrata.operators import astgraph, bytecode, closure, detectors, drift, findings, formal, guards, inheritance, intercontract, nested, rules, snapshots, state_ops, statistics, structure, taint
+from solstrata.plans.samples import SAMPLES, expected_findings, sample_codes, sample_files, sample_units
 from solstrata.session import materialize, table
 from solstrata.sources import files as src, reports
 
@@ -29,7 +30,7 @@ def _corpus(spark: SparkSession, d: str) -> structure.Corpus:
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     units = nested.latest_readable(table(spark, d, "ast_units"), "unit_id", "ast_json", ["compiled_at", "delivery_id"])
-    return materialize(astgraph.ast_nodes(units), "ast-nodes")
+    return materialize(astgraph.ast_nodes(units.unionByName(sample_units(spark))), "ast-nodes")
 
 
 def _baseline_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -147,28 +148,37 @@ def finding_ids(spark, d):
     return _baseline_rows(spark, d).select(findings.finding_id().alias("finding_id"), "rule_id", "line").distinct()
 
 
-def _two_snapshots(spark, d):
-    rows = _baseline_rows(spark, d).where("fingerprint_id is not null").withColumn("fingerprint_id", F.concat_ws("|", "project_root", "fingerprint_id"))
-    return rows.where("line = 2"), findings.create_baseline(rows.where("line = 1"))
+def _steps(spark, d, rows):
+    """Each project's rows of a snapshot and of the one before it, both with that snapshot's number as `step`."""
+    order = snapshots.small_side(materialize(snapshots.snapshot_order(table(spark, d, "baseline_findings"), "project_root", "snapshot_no"), "snapshot-order"))
+    rows = rows.where("project_root is not null and line is not null").join(order.select(F.col("grp").alias("project_root"), F.col("no").alias("line"), "prev_no", "next_no"), ["project_root", "line"])
+    return rows.where("prev_no is not null").withColumn("step", F.col("line")), rows.where("next_no is not null").withColumn("step", F.col("next_no"))
+
+
+def _scans(spark, d):
+    """All scans and the baselines they meet: fingerprints are per project and snapshot."""
+    one = lambda rows: rows.withColumn("fingerprint_id", F.concat_ws("|", "project_root", F.col("step").cast("string"), "fingerprint_id"))
+    new, old = _steps(spark, d, _baseline_rows(spark, d).where("fingerprint_id is not null"))
+    return one(new), findings.create_baseline(one(old))
 
 
 def baseline_new(spark, d):
-    new, base = _two_snapshots(spark, d)
+    new, base = _scans(spark, d)
     return findings.baseline_diff(new, base)[0].select("fingerprint_id").distinct()
 
 
 def baseline_existing(spark, d):
-    new, base = _two_snapshots(spark, d)
+    new, base = _scans(spark, d)
     return findings.baseline_diff(new, base)[1].select("fingerprint_id").distinct()
 
 
 def baseline_resolved(spark, d):
-    new, base = _two_snapshots(spark, d)
+    new, base = _scans(spark, d)
     return findings.baseline_diff(new, base)[2].select("fingerprint_id")
 
 
 def merged_baseline(spark, d):
-    new, base = _two_snapshots(spark, d)
+    new, base = _scans(spark, d)
     return findings.merge_baseline(base, findings.create_baseline(new)).groupBy("rule_id").agg(F.count("*").alias("entries"))
 
 
@@ -187,8 +197,8 @@ def timing_statistics(spark, d):
 
 
 def detector_accuracy(spark, d):
-    rows = _baseline_rows(spark, d).where("rule_id is not null and path is not null and project_root is not null")
-    out = statistics.accuracy(rows.where("line = 2"), rows.where("line = 1"), ["project_root", "path", "rule_id"])
+    new, old = _steps(spark, d, _baseline_rows(spark, d).where("rule_id is not null and path is not null"))
+    out = statistics.accuracy(new, old, ["project_root", "step", "path", "rule_id"])
     return out.select("detector", "true_positives", "false_positives", "false_negatives", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -202,7 +212,9 @@ def code_comparison(spark, d):
 
 
 def code_instructions(spark, d):
-    return bytecode.disassemble(table(spark, d, "verified_sources").where("constructorarguments <> ''"), "source_id", "constructorarguments")
+    """Instructions of the constructor arguments, which are hex as code is, and of the planted code."""
+    codes = table(spark, d, "verified_sources").where("constructorarguments <> ''").select("source_id", "constructorarguments")
+    return bytecode.disassemble(codes.unionByName(sample_codes(spark)), "source_id", "constructorarguments")
 
 
 def code_selectors(spark, d):
@@ -218,7 +230,9 @@ def proxy_kinds(spark, d):
 
 
 def exploited_contracts(spark, d):
-    return bytecode.known_exploits(table(spark, d, "verified_sources"))
+    """Known addresses among the sources and a planted one."""
+    planted = spark.createDataFrame([(bytecode.KNOWN_EXPLOITS[0][0].upper().replace("0X", "0x"),)], "address string")
+    return bytecode.known_exploits(table(spark, d, "verified_sources").select("address").unionByName(planted))
 
 
 def cache_decisions(spark, d):
@@ -290,7 +304,7 @@ def sarif_rows(spark, d):
 
 def finding_traces(spark, d):
     c = _corpus(spark, d)
-    ops = materialize(state_ops.state_ops(c.functions, c.blocks, c.variables), "state-ops")
+    ops = materialize(state_ops.state_ops(c.functions, c.blocks, c.variables, c.lineage), "state-ops")
     return reports.traces(ops, state_ops.cei_violations(ops)).select("path", "contract", "function", "summary", F.to_json("steps").alias("steps"))
 
 
@@ -302,24 +316,41 @@ QUERIES: dict[str, Query] = {
               source_blocks, state_variables, lines_in_scope, lines_of_functions, node_lines, suppressed_lines, fuzz_targets, sarif_rows, finding_traces)
 }
 def detect_vyper_reentrancy(spark, d):
-    return detectors.scan(structure.Corpus(src.table_sources(table(spark, d, "source_files"), (".vy",)), materialize), ["vyper-reentrancy"])
+    return detectors.scan(structure.Corpus(src.table_sources(table(spark, d, "source_files"), (".vy",)).unionByName(sample_files(spark).where("path like '%.vy'")), materialize), ["vyper-reentrancy"])
+
+
+@functools.lru_cache(maxsize=4)
+def _sample_corpus(spark: SparkSession) -> structure.Corpus:
+    return structure.Corpus(sample_files(spark), materialize)
+
+
+def _sample(name: str) -> Query:
+    """Findings of one detector in the planted contracts alone."""
+
+    def query(spark, d):
+        c = _sample_corpus(spark)
+        found = intercontract.findings(c) if name == "intercontract" else detectors.scan(c, [name])
+        return found.select("path", "line", "rule_id", "severity").distinct()
 
+    return query
 
+
+QUERIES |= {"sample_" + n.replace("-", "_"): _sample(n) for n in [*detectors.DETECTORS, *detectors.EXPERIMENTAL, "intercontract"]}
 QUERIES |= {"detect_" + n.replace("-", "_"): _scan(n) for n in [*detectors.DETECTORS, *detectors.EXPERIMENTAL]}
 QUERIES["detect_vyper_reentrancy"] = detect_vyper_reentrancy
 QUERIES |= {
     "inheritance_edges": _on_blocks(lambda c: inheritance.inherits(c.blocks)),
-    "inheritance_ancestors": _on_blocks(lambda c: inheritance.ancestors(inheritance.inherits(c.blocks))),
+    "inheritance_ancestors": _on_blocks(lambda c: c.lineage),
     "inheritance_parents": _on_blocks(lambda c: inheritance.resolve_parents(c.blocks, structure.resolve_imports(c.files))),
-    "effective_functions": _on_blocks(lambda c: inheritance.effective_functions(c.blocks)),
+    "effective_functions": _on_blocks(lambda c: inheritance.effective_functions(c.blocks, c.lineage)),
     "function_selectors": _on_blocks(lambda c: inheritance.signatures(c.blocks)),
     "selector_collisions": _on_blocks(lambda c: inheritance.selector_collisions(inheritance.signatures(c.blocks))),
     "modifier_kinds": _on_blocks(lambda c: inheritance.modifier_kinds(c.blocks)),
-    "function_guards": _on_blocks(lambda c: inheritance.function_guards(c.blocks)),
-    "override_links": _on_blocks(lambda c: inheritance.override_links(c.blocks)),
-    "override_regressions": _on_blocks(lambda c: inheritance.regressions(inheritance.override_links(c.blocks))),
-    "state_operations": _on_blocks(lambda c: state_ops.state_ops(c.functions, c.blocks, c.variables)),
-    "operation_summary": _on_blocks(lambda c: state_ops.operation_summary(state_ops.state_ops(c.functions, c.blocks, c.variables))),
+    "function_guards": _on_blocks(lambda c: inheritance.function_guards(c.blocks, c.lineage)),
+    "override_links": _on_blocks(lambda c: inheritance.override_links(c.blocks, c.lineage)),
+    "override_regressions": _on_blocks(lambda c: inheritance.regressions(inheritance.override_links(c.blocks, c.lineage))),
+    "state_operations": _on_blocks(lambda c: state_ops.state_ops(c.functions, c.blocks, c.variables, c.lineage)),
+    "operation_summary": _on_blocks(lambda c: state_ops.operation_summary(state_ops.state_ops(c.functions, c.blocks, c.variables, c.lineage))),
     "early_guards": _on_blocks(lambda c: guards.early_guards(c.functions)),
     "custom_mutexes": _on_blocks(lambda c: guards.custom_mutexes(c.functions, c.variables)),
     "branch_context": _on_blocks(lambda c: guards.branch_context(c.functions)),
@@ -342,13 +373,17 @@ QUERIES |= {
 }
 
 _SAMPLE_ROWS = ", ".join("('" + p.replace("'", "''") + "', '" + s.replace("'", "''") + "')" for p, s in sorted(SAMPLES.items()))
-_TABLE = r"""select concat_ws('/', coalesce(repo, '-/-'), regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '')) as path, content as source, file_path from source_files"""
+_TABLE = r"""select concat_ws('/', coalesce(repo, '-/' || file_id), regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '')) as path, content as source, file_path from source_files"""
 _SOL = f"(select path, source from ({_TABLE}) where lower(file_path) like '%.sol' union all select * from (values {_SAMPLE_ROWS}) as s(path, source))"
 _BOTH = f"(select path, source from ({_TABLE}) where lower(file_path) like '%.sol' or lower(file_path) like '%.vy')"
 _LINES = "select path, i as line_no, parts[i] as line from (select path, string_split(source, chr(10)) as parts from {0} where source is not null), unnest(range(1, len(parts) + 1)) as t(i)"
 _B = r"""(select file_path as path, snapshot_no as line, rule_id, split_part(rule_id, '-', 2) as detector, lower(trim(severity)) as severity, title, fingerprint_id, project_root from baseline_findings)"""
 _RANK = "case {0} when 'info' then 0 when 'low' then 1 when 'medium' then 2 when 'high' then 3 when 'critical' then 4 end"
-_TWO = "(select *, concat_ws('|', project_root, fingerprint_id) as fp from {0} where fingerprint_id is not null)".format(_B)
+_ORDER = """(select project_root, line, lag(line) over w as prev_no, lead(line) over w as next_no from (select distinct project_root, snapshot_no as line from baseline_findings
+  where project_root is not null and snapshot_no is not null) window w as (partition by project_root order by line))"""
+_NEW = f"(select b.*, b.line as step, concat_ws('|', project_root, b.line, fingerprint_id) as fp from {_B} b join {_ORDER} o using (project_root, line) where prev_no is not null)"
+_OLD = f"(select b.*, o.next_no as step, concat_ws('|', project_root, o.next_no, fingerprint_id) as fp from {_B} b join {_ORDER} o using (project_root, line) where next_no is not null)"
+_NEW_FP, _OLD_FP = (f"(select distinct fp from {x} where fingerprint_id is not null)" for x in (_NEW, _OLD))
 _AUTH, _SAFE = "|".join(detectors.TX_ORIGIN_AUTH), "|".join(detectors.TX_ORIGIN_SAFE)
 _GLOBS = " or ".join(f"regexp_matches(path, '{glob_regex(p)}')" for p in EXCLUDED)
 _BASE_GLOBS = " or ".join(f"regexp_matches(split_part(path, '/', -1), '{glob_regex(p)}')" for p in EXCLUDED if "/" not in p)
@@ -388,13 +423,16 @@ union all select 'confidence', confidence, count(*) from r group by confidence u
   lower(trim(regexp_replace(coalesce(title, ''), '[\t\n\f\r ]+', ' ', 'g'))) as t from {_B})
 select rule || '-' || left(sha256(concat_ws(chr(0), rule, p, '', '', t)), 12) as fingerprint_id, count(*) as findings from n group by 1""",
     "finding_ids": f"select distinct left(sha256(concat_ws(':', coalesce(rule_id, ''), coalesce(path, ''), coalesce(line::varchar, ''), coalesce(title, ''))), 12) as finding_id, rule_id, line from {_B}",
-    "baseline_new": f"select distinct fp as fingerprint_id from {_TWO} where line = 2 and fp not in (select fp from {_TWO} where line = 1)",
-    "baseline_existing": f"select distinct fp as fingerprint_id from {_TWO} where line = 2 and fp in (select fp from {_TWO} where line = 1)",
-    "baseline_resolved": f"select distinct fp as fingerprint_id from {_TWO} where line = 1 and fp not in (select fp from {_TWO} where line = 2)",
+    "baseline_new": f"select fp as fingerprint_id from {_NEW_FP} except select fp from {_OLD_FP}",
+    "baseline_existing": f"select fp as fingerprint_id from {_NEW_FP} intersect select fp from {_OLD_FP}",
+    "baseline_resolved": f"select fp as fingerprint_id from {_OLD_FP} except select fp from {_NEW_FP}",
+    "merged_baseline": f"""with held as (select fp, rule_id, 0 as k, title, severity, path from {_OLD} where fingerprint_id is not null union all select fp, rule_id, 1, title, severity, path from {_NEW} where fingerprint_id is not null),
+one as (select fp, arg_max(rule_id, row(k, coalesce(title, ''), title is not null, coalesce(rule_id, ''))) as rule_id from held group by fp) select rule_id, count(*) as entries from one group by rule_id""",
     "slowest_orders": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10",
     "timing_statistics": "select l_returnflag, count(*) as runs, round(avg(l_quantity), 6) as mean, min(l_quantity) as min, max(l_quantity) as max, round(stddev_pop(l_quantity), 6) as stddev, round(sum(l_quantity) / sum(sum(l_quantity)) over (), 6) as share from lineitem group by l_returnflag",
-    "detector_accuracy": f"""with r as (select *, row_number() over (partition by line, detector, project_root, path, rule_id) as k from {_B} where rule_id is not null and path is not null and project_root is not null),
-j as (select coalesce(f.detector, e.detector) as detector, f.k as f, e.k as e from (select * from r where line = 2) f full join (select * from r where line = 1) e on f.detector = e.detector and f.project_root = e.project_root and f.path = e.path and f.rule_id = e.rule_id and f.k = e.k),
+    "detector_accuracy": f"""with f as (select *, row_number() over (partition by step, detector, project_root, path, rule_id) as k from {_NEW} where rule_id is not null and path is not null),
+e as (select *, row_number() over (partition by step, detector, project_root, path, rule_id) as k from {_OLD} where rule_id is not null and path is not null),
+j as (select coalesce(f.detector, e.detector) as detector, f.k as f, e.k as e from f full join e on f.step = e.step and f.detector = e.detector and f.project_root = e.project_root and f.path = e.path and f.rule_id = e.rule_id and f.k = e.k),
 c as (select detector, count(*) filter (f is not null and e is not null) as true_positives, count(*) filter (e is null) as false_positives, count(*) filter (f is null) as false_negatives from j group by detector)
 select *, round(true_positives / nullif(true_positives + false_positives, 0), 6) as precision, round(true_positives / nullif(true_positives + false_negatives, 0), 6) as recall, round(2 * true_positives / nullif(2 * true_positives + false_positives + false_negatives, 0), 6) as f1 from c""",
     "code_patterns": "with c as (select source_id, regexp_replace(lower(trim(constructorarguments)), '^0x', '') as code from verified_sources) select source_id, name, ((pos - 1) // 2)::int as pc from (select source_id, unnest(['SELFDESTRUCT', 'DELEGATECALL', 'ORIGIN']) as name, unnest([instr(code, 'ff'), instr(code, 'f4'), instr(code, '32')]) as pos from c) where pos > 0",
@@ -407,3 +445,28 @@ ORACLES["rule_catalogue"] = f"""select *, split_part(rule_id, '-', 1) as categor
   case severity when 'info' then 'note' when 'low' then 'note' when 'medium' then 'warning' else 'error' end as report_level from (values {_RULE_ROWS}) as r(rule_id, name, severity, confidence, detector, enabled)"""
 ORACLES["code_comparison"] = """with v as (select source_id, regexp_replace(lower(trim(constructorarguments)), '^0x', '') as a, case when source_id % 3 > 0 then constructorarguments end as b from verified_sources)
 select source_id, case when coalesce(a, '') = '' then 'unverified' when coalesce(b, '') = '' then 'no_source' when a = regexp_replace(lower(trim(b)), '^0x', '') then 'exact' else 'mismatch' end as match, sha256(a) as deployed_hash from v"""
+
+
+def _rows(columns: str, *rows: str) -> str:
+    return f"select * from (values {', '.join(rows)}) as t({columns})"
+
+
+# What is planted; the delivered trees, code and addresses hold nothing that these queries look for.
+ORACLES |= {
+    "sample_" + name.replace("-", "_"): _rows("path, line, rule_id, severity", *[f"('{p}', {n}, '{r}', '{s}')" for p, n, r, s in rows]) for name, rows in expected_findings().items()
+}
+ORACLES |= {
+    "code_selectors": _rows("source_id, selector", "(-1, '70a08231')", "(-1, 'a9059cbb')"),
+    "exploited_contracts": _rows("address, day, loss_usd, exploit_kind", "('0xbf05279f9bf1ce69bbfed670813b7e431142afa4', date '2022-11-02', 2100000.0::double, 'reentrancy')"),
+    "detect_vyper_reentrancy": _rows("path, line, rule_id, detector, severity, confidence, title, snippet, contract, function", """('bad/vyper-reentrancy/Safe.vy', 7, 'REENTRANCY-001', 'vyper-reentrancy', 'critical', 'high',
+  'Call before the write of a state variable in ''leave''', 'raw_call(msg.sender, b"", value=share)', '', 'leave')"""),
+    "selector_collisions": _rows("selector, forms", "('42966c68', ['burn(uint256)', 'collate_propagate_storage(bytes16)'])"),
+    "custom_mutexes": _rows("path, contract, function, variable", "('lib/shapes/Shapes.sol', 'Shapes', 'turn', 'busy')"),
+    "conditional_writes": _rows("path, contract, function, line", "('lib/shapes/Shapes.sol', 'Shapes', 'pick', 21)"),
+    "symbol_uses": _rows("record_id, contract, symbol, function, function_node, node, statement, access", "(-1, 'Pump', 'spent', '_next', 31, 42, 0, 'read')", "(-1, 'Pump', 'spent', 'pull', 5, 24, 2, 'write')"),
+    "writes_after_call": _rows("record_id, contract, function, symbol, node, first_call", "(-1, 'Pump', 'pull', 'spent', 24, 17)"),
+    "call_edges": _rows("record_id, caller, callee, resolved", "(-1, 'Pump._next', 'Pump.pull', true)", "(-1, 'Pump.pull', 'Pump._next', true)"),
+    "call_cycles": _rows("record_id, component, size, calls_out, risk", "(-1, 'Pump._next', 2, true, 'high')"),
+    "taint_summaries": _rows("record_id, function, sinks, recursive", "(-1, 'Pump._next', ['call'], true)", "(-1, 'Pump.pull', ['call'], true)"),
+    "taint_storage": _rows("record_id, contract, symbol, reads", "(-1, 'Pump', 'spent', 1)"),
+}

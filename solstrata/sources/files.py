@@ -42,11 +42,11 @@ def read_sources(spark: SparkSession, root: str, suffixes: Sequence[str] = (".so
 
 
 def table_sources(files: DataFrame, suffixes: Sequence[str] = (".sol", ".vy")) -> DataFrame:
-    """(path, source) of a table (repo, file_path, content); the path begins with the repository."""
+    """(path, source) of a table (file_id, repo, file_path, content); the path begins with the repository, or -/file_id without one."""
     wanted = F.lit(False)
     for s in suffixes:
         wanted = wanted | F.lower("file_path").endswith(s)
-    path = F.concat_ws("/", F.coalesce("repo", F.lit("-/-")), F.regexp_replace(F.replace("file_path", F.lit("\\"), F.lit("/")), r"^(\./)+", ""))
+    path = F.concat_ws("/", F.coalesce("repo", F.concat(F.lit("-/"), F.col("file_id").cast("string"))), F.regexp_replace(F.replace("file_path", F.lit("\\"), F.lit("/")), r"^(\./)+", ""))
     return files.where(wanted).select(path.alias("path"), F.col("content").alias("source"))
 
 

@@ -34,8 +34,11 @@ def test_each_detector_tells_the_bad_and_not_the_good(corpus, found):
 
 def test_severities_and_lines(found):
     got = {(r.path, r.rule_id): (r.severity, r.line) for r in found.collect()}
-    assert got["bad/reentrancy/Bank.sol", "REENTRANCY-001"] == ("critical", 9)
-    assert got["bad/reentrancy/Helper.sol", "REENTRANCY-002"] == ("high", 8)
+    assert got["bad/reentrancy/Bank.sol", "REENTRANCY-001"] == ("critical", 10)
+    assert got["bad/reentrancy/Helper.sol", "REENTRANCY-002"] == ("high", 10)
+    assert got["bad/reentrancy/Till.sol", "REENTRANCY-001"] == ("critical", 9)  # the variable is a base's in another file
+    assert got["bad/reentrancy/Branch.sol", "REENTRANCY-002"] == ("high", 8)  # and so is the helper
+    assert got["bad/override-removes-restriction/Door.sol", "INIT-005"] == ("critical", 7)
     assert got["bad/unchecked-call/Payer.sol", "CALL-002"] == ("medium", 9)
     assert got["bad/signature-replay/Permit.sol", "DEFI-003"][0] == "critical"
 
@@ -99,11 +102,15 @@ def test_inheritance(corpus):
     links = inheritance.override_links(corpus.blocks)
     lost = {r.path for r in inheritance.regressions(links).collect()}
     assert lost == {"bad/override-removes-restriction/Child.sol"}
+    across = inheritance.regressions(inheritance.override_links(corpus.blocks, corpus.lineage))
+    assert {r.path for r in across.collect()} == {f"bad/override-removes-restriction/{x}.sol" for x in ("Child", "Door")}
     eff = {(r.contract, r.function): r.declared_in for r in inheritance.effective_functions(corpus.blocks).where("path like 'good/override%'").collect()}
     assert eff["Child", "set"] == "Child" and eff["Parent", "set"] == "Parent"
     kinds = {r.modifier: r.kind for r in inheritance.function_guards(corpus.blocks).collect()}
     assert kinds["onlyOwner"] == "access control" and kinds["nonReentrant"] == "reentrancy guard" and kinds["initializer"] == "initializer"
-    assert inheritance.selector_collisions(inheritance.signatures(corpus.blocks)).count() == 0
+    signed = inheritance.signatures(corpus.blocks)
+    assert inheritance.selector_collisions(signed.where("path not like 'lib/%'")).count() == 0
+    assert [r.selector for r in inheritance.selector_collisions(signed).collect()] == ["42966c68"]
 
 
 def test_operations_and_guards(spark):
@@ -144,6 +151,16 @@ def _unit():
         fn("inner", "internal", ["x"], [stmt(call(ident("go"), ident("x")))]), None]}]}
 
 
+def _tree(params, body):
+    return {"nodeType": "SourceUnit", "nodes": [{"nodeType": "ContractDefinition", "name": "T", "nodes": [{"nodeType": "FunctionDefinition", "name": "f", "visibility": "public", "kind": "function",
+        "parameters": {"nodeType": "ParameterList", "parameters": [{"nodeType": "VariableDeclaration", "name": p, "stateVariable": False} for p in params]}, "body": {"nodeType": "Block", "statements": body}}]}]}
+
+
+def _set(target, source):
+    one, two = ({"nodeType": "Identifier", "name": n} for n in (target, source))
+    return {"nodeType": "ExpressionStatement", "expression": {"nodeType": "Assignment", "operator": "=", "leftHandSide": one, "rightHandSide": two}}
+
+
 def test_trees_calls_and_taint(spark):
     df = spark.createDataFrame([(1, json.dumps(_unit())), (2, "{"), (3, None)], "record_id bigint, text string").where("text is not null")
     n = materialize(astgraph.ast_nodes(df), "n")
@@ -160,6 +177,29 @@ def test_trees_calls_and_taint(spark):
     assert {r.function: r.sinks for r in taint.function_summaries(n).collect()} == {"C.go": ["call"], "C.inner": ["call"]}
 
 
+def test_taint_goes_on_until_nothing_is_new(spark):
+    chain = [_set(f"v{i + 1}", f"v{i}") for i in range(30)]
+    late = [_set("x", "b"), _set("y", "x")]
+    body = [_set("b", "p"), *late, *chain]
+    df = spark.createDataFrame([(1, json.dumps(_tree(["p", "v0"], body))), (2, json.dumps(_tree(["a"], [_set("b", "a"), _set("x", "b"), _set("y", "x"), _set("q", "z"), _set("z", "y"), _set("x", "a")])))], "record_id bigint, text string")
+    n = materialize(astgraph.ast_nodes(df), "n")
+    got = {(r.record_id, r.symbol): r.since for r in taint.tainted_symbols(n).collect()}
+    assert got[1, "v30"] == 32 and got[1, "y"] == 2
+    assert got[2, "x"] == 1 and got[2, "y"] == 2 and (2, "q") not in got
+
+
+def test_lineage_reaches_across_files(spark):
+    rows = [("o/r/a.sol", 'import "./b.sol";\ncontract A is B { }'), ("o/r/b.sol", 'import "lib/c.sol";\ncontract B is C { modifier m() { require(msg.sender == boss); _; } }'), ("o/r/lib/c.sol", "contract C { uint x; function f() public { } }"),
+            ("o/s/b.sol", "contract B { function other() public { } }"), ("o/r/d.sol", "contract D is A, Gone { function g() public m { } }")]
+    c = structure.Corpus(spark.createDataFrame(rows, "path string, source string"), materialize)
+    got = {(r.path, r.contract, r.ancestor_path, r.ancestor, r.depth) for r in c.lineage.collect()}
+    a, b, cc, dd = "o/r/a.sol", "o/r/b.sol", "o/r/lib/c.sol", "o/r/d.sol"
+    assert got == {(a, "A", b, "B", 1), (a, "A", cc, "C", 2), (b, "B", cc, "C", 1), (dd, "D", a, "A", 1), (dd, "D", b, "B", 2), (dd, "D", cc, "C", 3), (dd, "D", "", "Gone", 1)}
+    assert {(r.contract, r.function, r.declared_in) for r in inheritance.effective_functions(c.blocks, c.lineage).where("contract = 'D'").collect()} == {("D", "g", "D"), ("D", "f", "C")}
+    assert [(r.modifier, r.kind) for r in inheritance.function_guards(c.blocks, c.lineage).collect()] == [("m", "access control")]
+    assert {r.variable for r in state_ops.known_variables(c.blocks, c.variables, c.lineage).where("contract = 'D'").collect()} == {"x"}
+
+
 def test_bytecode(spark):
     meta = "a2646970667358221220" + "ab" * 32 + "64736f6c6343000811" + "0033"
     rows = [(1, "0x6001" + meta, "6001" + meta.replace("ab", "cd")), (2, "63a9059cbb14ff", "63a9059cbb14ff"), (3, None, "00"), (4, "00", None), (5, "60ff32", "6000f4"), (6, "zz", "")]
