@@ -55,10 +55,10 @@ def q_gram_hashes(body: np.ndarray) -> np.ndarray:
     return h
 
 
-def whole_q_grams(body: np.ndarray, n: int) -> np.ndarray:
-    """Which of the first n q-grams lie in one text, that is have no NUL in them."""
-    ends = np.concatenate([[0], np.cumsum(body == 0)])
-    return ends[Q : n + Q] == ends[:n]
+def whole_q_grams(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the q-grams that begin at `at` lie in one text, that is have no NUL in them."""
+    cuts = np.flatnonzero(body == 0)
+    return np.searchsorted(cuts, at) == np.searchsorted(cuts, at + Q)
 
 
 class QGramFilter:
@@ -73,9 +73,12 @@ class QGramFilter:
         np.bitwise_or.at(self.map, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def known(self, body: np.ndarray) -> np.ndarray:
-        at = q_gram_hashes(body) >> np.uint64(64 - self.bits)
-        held = (self.map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
-        return (held == 1) & whole_q_grams(body, len(at))
+        """Whether each q-gram of body is known; those that span two texts are not."""
+        place = (q_gram_hashes(body) >> np.uint64(64 - self.bits)).astype(np.uint32)
+        hit = ((self.map[place >> np.uint32(3)] >> (place & np.uint32(7)).astype(np.uint8)) & np.uint8(1)).view(bool)
+        at = np.flatnonzero(hit)
+        hit[at[~whole_q_grams(body, at)]] = False
+        return hit
 
 
 class QGramIndex:
@@ -87,7 +90,8 @@ class QGramIndex:
         self.starts = np.cumsum([0, *map(len, parts)])[:-1]
         self.body = np.frombuffer(b"".join(parts), np.uint8)
         hashes = q_gram_hashes(self.body)
-        at = np.flatnonzero(whole_q_grams(self.body, len(hashes)))  # those that span two items are none
+        at = np.arange(len(hashes))
+        at = at[whole_q_grams(self.body, at)]  # those that span two items are none
         order = np.argsort(hashes[at], kind="stable")
         self.places = at[order]
         self.hashes = hashes[at][order]
@@ -194,7 +198,7 @@ def regions(index: QGramIndex, body: np.ndarray, offsets: np.ndarray, width: int
     Of neighbouring passages of one item and band the one with the fewest edits is kept, the first in item and document of several.
     """
     hashes = q_gram_hashes(body)
-    known = index.known(hashes) & whole_q_grams(body, len(hashes))
+    known = index.known(hashes) & whole_q_grams(body, np.arange(len(hashes)))
     need, reach = width + 1 - (edits + 1) * Q, width + edits - Q + 1
     at = np.flatnonzero(known & dense(known, width, edits))
     found: dict[tuple[int, int, int], tuple[int, int, int, int, int]] = {}
