@@ -41,6 +41,8 @@ SLOTS = 1 << 16
 #: Rows of one band key above which the key is split into blocks.
 BLOCK_ROWS = 2000
 FAN_OUT = 8
+#: Ids (8 bytes each) up to which they are sent to every executor.
+WANTED_IDS = 2_000_000
 _WORD = np.zeros(256, bool)
 _WORD[list(b"0123456789_abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _WORD[128:] = True
@@ -161,18 +163,24 @@ def features(df: DataFrame, record_id: str, text: str, k: int, threshold: float)
     return _texts(df, record_id, text).mapInArrow(run, f"id bigint, set_key binary, {', '.join(f'{f} bigint' for f in _PRINT)}, bands array<int>")
 
 
-def run_sets(df: DataFrame, record_id: str, text: str, k: int) -> DataFrame:
-    """(id, runs): the set of every text with words, as sorted 32-bit numbers."""
+def run_sets(df: DataFrame, record_id: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
+    """(id, runs): the sets of the wanted (id) texts, as sorted 64-bit numbers.
+
+    The wanted ids meet the texts before these are hashed where they fit into WANTED_IDS, else the sets after.
+    """
+    few = wanted.limit(WANTED_IDS + 1).count() <= WANTED_IDS
+    texts = _texts(df, record_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text", 2 << 20):
-                sets = [np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32) for s in word_runs(part.column("text").to_pylist(), k)]
+                sets = [s.view(np.int64) for s in word_runs(part.column("text").to_pylist(), k)]
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "runs"])
 
-    return _texts(df, record_id, text).mapInArrow(run, "id bigint, runs array<int>")
+    sets = (texts.join(F.broadcast(wanted), "id", "left_semi") if few else texts).mapInArrow(run, "id bigint, runs array<bigint>")
+    return sets if few else sets.join(wanted, "id", "left_semi")
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -324,8 +332,9 @@ def near_duplicates(df: DataFrame, record_id: str, text: str, k: int = 5, thresh
     reps = every.groupBy("set_key").agg(F.min_by(F.struct("id", *_PRINT, "bands"), "id").alias("r"))
     reps = materialize(reps.select("set_key", "r.*"), "near-reps")
     members = every.select("id", "set_key").distinct().join(reps.select("set_key", F.col("id").alias("rep")), "set_key").select("id", "rep")
-    candidates = candidate_pairs(reps, threshold)
-    links = verified_pairs(candidates, run_sets(df, record_id, text, k), threshold)
+    candidates = materialize(candidate_pairs(reps, threshold), "near-candidates")
+    wanted = materialize(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-wanted")
+    links = verified_pairs(candidates, run_sets(df, record_id, text, k, wanted), threshold)
     return materialize(links.select("a", "b"), "near-links"), materialize(members, "near-members")
 
 
