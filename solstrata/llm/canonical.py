@@ -1,7 +1,7 @@
 """One consistent form for texts that look alike but differ in their characters.
 
 The mapping is SQL that DuckDB runs inside each Arrow partition: invisible characters go, `nfc_normalize` composes
-accents, `translate` maps full-width forms, non-breaking spaces and look-alike letters to one character each, and
+accents, `translate` maps full-width forms, non-breaking spaces and look-alike letters (mathematical alphabets and ligatures too) to plain ones, and
 a second `nfc_normalize` composes what the translation made possible. Letter case, punctuation, line ends and ordinary
 white space stay as they are.
 
@@ -28,6 +28,7 @@ _LOOK_ALIKES = {
     "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w", "к": "k",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y",
     "Χ": "X", "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "α": "a", "ρ": "p", "ι": "i", "υ": "u", "κ": "k", "γ": "y",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
     "օ": "o", "հ": "h", "ո": "n", "ս": "u", "ց": "g", "զ": "q", "ɡ": "g", "ɑ": "a", "Օ": "O", "Տ": "S", "Լ": "L",
 }
 # No-break space, figure space, narrow no-break space, ideographic space (the full-width form of a space).
@@ -39,7 +40,7 @@ _HELD = ""
 
 
 def _pairs() -> dict[str, str]:
-    """Single characters to single characters: look-alikes, their accented forms, full-width forms and spaces."""
+    """Single characters to single characters: look-alikes, their accented forms, full-width forms, numerals that are one letter, and spaces."""
     out = dict(_LOOK_ALIKES) | {c: " " for c in _SPACES} | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
     for code in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
         base, *marks = unicodedata.normalize("NFD", chr(code))
@@ -47,13 +48,27 @@ def _pairs() -> dict[str, str]:
             composed = unicodedata.normalize("NFC", _LOOK_ALIKES[base] + "".join(marks))
             if len(composed) == 1:
                 out[chr(code)] = composed
-    for code in [*range(0xFF65, 0xFF9E), *range(0xFFE0, 0xFFE7)]:
+    for code in [*range(0xFF65, 0xFF9E), *range(0xFFE0, 0xFFE7), *range(0x2160, 0x2180)]:
         folded = unicodedata.normalize("NFKC", chr(code))
         if len(folded) == 1:
             out[chr(code)] = folded
     return out
 
 
+def _styled() -> dict[str, str]:
+    """Letters and digits of the mathematical alphabets, and their plain look-alikes; few texts have any."""
+    out = {}
+    for code in range(0x1D400, 0x1D800):
+        plain = unicodedata.normalize("NFKC", chr(code))
+        if len(plain) == 1 and plain != chr(code):
+            out[chr(code)] = _LOOK_ALIKES.get(plain, plain)
+    return out
+
+
+#: Ligatures, which look like the letters they join.
+_LIGATURES = {chr(code): unicodedata.normalize("NFKC", chr(code)) for code in range(0xFB00, 0xFB07)}
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -66,7 +81,12 @@ def canonical_sql(column: str) -> str:
     for _ in range(2):  # matches don't overlap, so chains of joined emoji need a second pass
         held = f"regexp_replace({held}, '{joined}', '\\1\\2{_HELD}\\3', 'g')"
     shown = f"replace(regexp_replace({held}, '{_INVISIBLE}', '', 'g'), '{_HELD}', chr(8205))"
-    return f"nfc_normalize(translate(nfc_normalize({shown}), {_quoted(''.join(pairs))}, {_quoted(''.join(pairs.values()))}))"
+    styled = _styled()
+    plain = f"translate({shown}, {_quoted(''.join(styled))}, {_quoted(''.join(styled.values()))})"
+    for joined, letters in _LIGATURES.items():
+        plain = f"replace({plain}, {_quoted(joined)}, {_quoted(letters)})"
+    rare = f"case when regexp_matches({column}, '[\\x{{FB00}}-\\x{{FB06}}\\x{{1D400}}-\\x{{1D7FF}}]') then {plain} else {shown} end"
+    return f"nfc_normalize(translate(nfc_normalize({rare}), {_quoted(''.join(pairs))}, {_quoted(''.join(pairs.values()))}))"
 
 
 def words_sql(column: str) -> str:
@@ -77,7 +97,7 @@ def words_sql(column: str) -> str:
 def connection():
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB"})
     con.execute("set preserve_insertion_order = true")
     return con
 

@@ -15,6 +15,7 @@ constants say nothing about the license.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -159,9 +160,21 @@ def expression(text: str) -> frozenset[str]:
     return frozenset(out)
 
 
-@functools.lru_cache(maxsize=20_000)
+#: Results by digest of the text, so that what is kept is small however long texts are; emptied when full.
+_known: dict[bytes, frozenset[str]] = {}
+
+
 def licenses_of_text(text: str) -> frozenset[str]:
     """Licenses that a comment or license file names, by all templates and wherever they match."""
+    digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    if digest not in _known:
+        if len(_known) >= 50_000:
+            _known.clear()
+        _known[digest] = _licenses_of_text(text)
+    return _known[digest]
+
+
+def _licenses_of_text(text: str) -> frozenset[str]:
     _, templates, title = _grammars()
     cleaned = clean(text)
     out: set[str] = set()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,9 +49,25 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "containers"))
 
 
+#: Packs over the least possible number that a packing may need.
+FILL_FACTOR = 1.02
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """For each kind of container whether every text with tokens is placed whole and once, no pack holds more than the capacity, and packs are hardly more than the least."""
     containers = table(spark, d, "containers")
-    return packing.pack_fill(materialize(packing.pack_texts(table(spark, d, "documents"), containers), "packed"), containers)
+    counts = materialize(packing.token_counts(table(spark, d, "documents")), "token-counts")
+    packed = materialize(packing.pack_documents(counts, containers), "packed")
+    fill = packing.pack_fill(packed, containers).withColumn("close_to_least", F.col("packs") <= F.ceil(F.col("least_packs") * FILL_FACTOR) + 1)
+    full = packed.groupBy("container_id", "pack_id").agg(F.sum("piece_tokens").alias("used")).groupBy("container_id").agg(F.max("used").alias("fullest"))
+    whole = packed.groupBy("container_id", "doc_id").agg(F.sum("piece_tokens").alias("placed"), F.count("*").alias("pieces"))
+    both = whole.join(counts.where("n_tokens > 0"), "doc_id", "full").join(F.broadcast(containers.select("container_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))), "container_id", "left")
+    right = F.coalesce(F.expr("placed = n_tokens and pieces = (n_tokens + capacity - 1) div capacity"), F.lit(False))
+    seen = both.groupBy("container_id").agg(F.bool_and(right).alias("right"), F.count("*").alias("n"))
+    total = counts.where("n_tokens > 0").agg(F.count("*").alias("every"))
+    out = containers.select("container_id", F.col("capacity_tokens").alias("capacity")).where("capacity > 0").join(fill.select("container_id", "close_to_least"), "container_id").join(full, "container_id").join(seen, "container_id")
+    out = out.withColumn("every", F.lit(total.first()[0]))
+    return out.select("container_id", F.expr("right and n = every").alias("placed_once"), F.expr("fullest <= capacity").alias("within_capacity"), "close_to_least")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,15 +99,43 @@ QUERIES: dict[str, Query] = {
     for f in (p2_found, p2_groups, p4_found, p4_flags, p4_rates, p6_found, p7_packing, p7_fill, p8_found, p8_items, p8_passages, p9_found, p9_canonical, p9_classes)
 }
 
-_WORDS = canonical.words_sql("text")
-_P8 = f"""
-with doc as (select distinct doc_id, array_to_string(w[i:i + {MIN_WORDS - 1}], ' ') as run
-    from (select doc_id, string_split({_WORDS}, ' ') as w from documents where text is not null), unnest(range(1, len(w) - {MIN_WORDS - 2})) as t(i)),
-item as (select distinct item_id, array_to_string(w[i:i + {MIN_WORDS - 1}], ' ') as run
-    from (select item_id, string_split({_WORDS}, ' ') as w from eval_items where text is not null), unnest(range(1, len(w) - {MIN_WORDS - 2})) as t(i))
-select distinct doc_id, item_id from doc join item using (run)"""
-
-_P9_FORMS = f"select doc_id, text, {canonical.canonical_sql('text')} as form from documents where text is not null"
+def _letters() -> str:
+    """Rows (c, t): what becomes of a character by itself, from the Unicode tables; written as its base letters and accents apart."""
+    like = canonical._LOOK_ALIKES  # fixed values
+    rows = []
+    for code in [*range(0xA0, 0x3100), *range(0xA640, 0xAB70), *range(0xFB00, 0xFB07), *range(0xFE00, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE0200)]:
+        c, kind = chr(code), unicodedata.category(chr(code))
+        if kind == "Cf" or code in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0) or 0xFE00 <= code < 0xFE10 or 0xE0100 <= code < 0xE01F0:
+            t = "" if code not in range(0x600, 0x606) and code not in (0x6DD, 0x70F, 0x890, 0x891, 0x8E2) else c  # signs of Arabic show
+        elif code in (0xA0, 0x2007, 0x202F, 0x3000):
+            t = " "
+        else:
+            wide = 0xFF00 <= code or code in range(0x2160, 0x2180) and len(unicodedata.normalize("NFKC", c)) == 1 or code in range(0xFB00, 0xFB07) or 0x1D400 <= code < 0x1D800
+            plain = unicodedata.normalize("NFKC", c) if wide else c
+            t = "".join(like.get(x, x) for x in unicodedata.normalize("NFD", plain))
+        if t != c:
+            rows.append(f"(chr({code}), '{t.replace(chr(39), chr(39) * 2)}')")
+    return ", ".join(rows)
+
+
+def _forms(name: str, key: str) -> str:
+    """SQL of (key, text, form): texts taken apart into characters, each looked up in a table, and put together again."""
+    emoji = "between 8592 and 11263 or unicode({0}) between 126976 and 129791"
+    return f"""letters(c, t) as (values {_letters()}),
+chars as (select {key}, i, c, lag(c) over w as before, lag(c, 2) over w as before2, lead(c) over w as after from (
+    select {key}, unnest(regexp_extract_all(text, '(?s).')) as c, unnest(range(len(regexp_extract_all(text, '(?s).')))) as i from {name} where text is not null) window w as (partition by {key} order by i)),
+shown as (select {key}, string_agg(case when c = chr(8205) and (unicode(after) {emoji.format("after")}) and (unicode(before) {emoji.format("before")} or before = chr(65039) and (unicode(before2) {emoji.format("before2")})) then c
+    else coalesce(t, c) end, '' order by i) as form from chars left join letters using (c) group by {key}),
+forms as (select d.{key}, d.text, nfc_normalize(coalesce(form, '')) as form from {name} d left join shown using ({key}) where d.text is not null)"""
+
+
+def _runs(name: str, key: str) -> str:
+    return f"""(with {_forms(name, key)}, w as (select {key}, regexp_extract_all(lower(form), '[\\p{{L}}\\p{{N}}]+') as w from forms)
+select distinct {key}, array_to_string(w[i:i + {MIN_WORDS - 1}], ' ') as run from w, unnest(range(1, len(w) - {MIN_WORDS - 2})) as t(i))"""
+
+
+_P8 = f"select distinct doc_id, item_id from {_runs('documents', 'doc_id')} join {_runs('eval_items', 'item_id')} using (run)"
+_P9 = f"with {_forms('documents', 'doc_id')}"
 
 ORACLES: dict[str, str] = {
     "p2_found": r"""
@@ -102,7 +147,8 @@ select x as source_id_a, y as source_id_b from shared join sizes p on p.source_i
 where c >= 0.6 * (p.n + q.n - c)""",
     "p8_found": _P8,
     "p8_items": f"select item_id, count(*) as documents from ({_P8}) group by item_id",
-    "p9_found": f"with f as ({_P9_FORMS}) select a.doc_id as doc_id_a, b.doc_id as doc_id_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id where a.text <> b.text",
-    "p9_canonical": f"select doc_id, {canonical.canonical_sql('text')} as canonical from documents",
-    "p9_classes": f"with f as ({_P9_FORMS}) select doc_id, min(doc_id) over (partition by form) as class_id, n as stored_forms from f join (select form, count(distinct text) as n from f group by form) using (form)",
+    "p9_found": f"{_P9} select a.doc_id as doc_id_a, b.doc_id as doc_id_b from forms a join forms b on a.form = b.form and a.doc_id < b.doc_id where a.text <> b.text",
+    "p9_canonical": f"{_P9} select d.doc_id, form as canonical from documents d left join forms using (doc_id)",
+    "p9_classes": f"{_P9} select doc_id, min(doc_id) over (partition by form) as class_id, n as stored_forms from forms join (select form, count(distinct text) as n from forms group by form) using (form)",
+    "p7_fill": """with k as (select container_id, capacity_tokens as capacity from containers where capacity_tokens > 0) select container_id, true as placed_once, true as within_capacity, true as close_to_least from k""",
 }

@@ -30,6 +30,12 @@ def test_look_alikes(spark):
     assert canonical.look_alike_pairs(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_styled_letters_ligatures_and_numerals(spark):
+    texts = ["office XV A", "o\ufb03ce XV A", "office \u2169\u2164 A", "\U0001d428\U0001d41f\U0001d41f\U0001d422\U0001d41c\U0001d41e XV \u13aa", "o\u00b2", "o2"]
+    got = {r.doc_id: r.canonical for r in canonical.canonical_texts(docs(spark, texts)).collect()}
+    assert {got[i] for i in range(4)} == {"office XV A"} and got[4] != got[5]
+
+
 def test_many_copies_pair_only_with_other_texts(spark):
     texts = ["same text"] * 400 + ["same\u00a0text"]
     assert canonical.look_alike_pairs(docs(spark, texts)).count() == 400
