@@ -31,11 +31,15 @@ def skipped(path: Column) -> Column:
 
 def read_sources(spark: SparkSession, root: str, suffixes: Sequence[str] = (".sol",), exclude: Sequence[str] = (), defaults: bool = True) -> DataFrame:
     """(path, source) below root, paths relative to it; `defaults` applies the usual skips, `exclude` further globs."""
-    root = os.path.abspath(root)
+    far = "://" in root  # any file system Spark reads; a path without scheme is a local one
+    root = (root if far else os.path.abspath(root)).rstrip("/")
     pattern = "*{" + ",".join(suffixes) + "}"
     df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    full = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:(//)?", "")
-    df = df.select(F.substring(full, F.lit(len(root.rstrip("/")) + 2), F.length(full)).alias("path"), F.col("value").alias("source"))
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    if not far or root.startswith("file:"):
+        root = re.sub("^file:(//)?", "", root)
+        full = F.regexp_replace(full, "^file:(//)?", "")
+    df = df.select(F.substring(full, F.lit(len(root) + 2), F.length(full)).alias("path"), F.col("value").alias("source"))
     if defaults:
         df = df.where(~skipped(F.col("path")))
     return df.where(~matches_any(F.col("path"), exclude)) if exclude else df
