@@ -166,9 +166,9 @@ def features(df: DataFrame, record_id: str, text: str, k: int, threshold: float)
 def run_sets(df: DataFrame, record_id: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
     """(id, runs): the sets of the wanted (id) texts, as sorted 64-bit numbers.
 
-    The wanted ids meet the texts before these are hashed where they fit into WANTED_IDS, else the sets after.
+    `wanted` must be a written table. Its ids meet the texts before these are hashed where they fit into WANTED_IDS, else the sets after.
     """
-    few = wanted.limit(WANTED_IDS + 1).count() <= WANTED_IDS
+    few = wanted.count() <= WANTED_IDS
     texts = _texts(df, record_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
