@@ -145,6 +145,15 @@ sizes as (select source_id, count(*) as n from runs group by source_id),
 shared as (select a.source_id as x, b.source_id as y, count(*) as c from runs a join runs b on a.run = b.run and a.source_id < b.source_id group by all)
 select x as source_id_a, y as source_id_b from shared join sizes p on p.source_id = x join sizes q on q.source_id = y
 where c >= 0.6 * (p.n + q.n - c)""",
+    "p2_groups": r"""
+with recursive words as (select source_id, contractname, regexp_extract_all(lower(sourcecode), '[\p{L}\p{N}_]+') as w from verified_sources where sourcecode is not null),
+sets as (select source_id, contractname, case when len(w) >= 3 then list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) else ['few ' || array_to_string(w, ' ')] end as s from words where len(w) > 0),
+classes as (select *, min(source_id) over (partition by s) as class_id from sets),
+runs as (select class_id, unnest(s) as run, len(s) as n from classes where source_id = class_id),
+links as (select a.class_id as x, b.class_id as y from runs a join runs b on a.run = b.run and a.class_id <> b.class_id group by all having count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach as (select distinct class_id as x, class_id as y from classes union select r.x, l.y from reach r join links l on r.y = l.x),
+named as (select x, min(y) as group_id from reach group by x), counted as (select x, count(*) as n from links group by x)
+select source_id, group_id, class_id, coalesce(n, 0) as links, contractname from classes join named on named.x = class_id left join counted on counted.x = class_id""",
     "p8_found": _P8,
     "p8_items": f"select item_id, count(*) as documents from ({_P8}) group by item_id",
     "p9_found": f"{_P9} select a.doc_id as doc_id_a, b.doc_id as doc_id_b from forms a join forms b on a.form = b.form and a.doc_id < b.doc_id where a.text <> b.text",
